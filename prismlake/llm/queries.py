@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import byte_bpe, exact_dedup, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
