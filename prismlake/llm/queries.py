@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, quality_rules, sharding
+from . import byte_bpe, exact_dedup, language_model, mixing, quality_rules, sharding, sstable
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_language_model": language_model.op4_language_model,
     "op5_mixing": mixing.op5_mixing,
+    "op6_token_shards": sstable.op6_token_shards,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
