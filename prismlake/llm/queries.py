@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, language_model, mixing, quality_model, quality_rules, sharding, sstable
+from . import byte_bpe, exact_dedup, html_text, jaccard_join, language_model, mixing, quality_model, quality_rules, sharding, sstable
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_language_model": language_model.op4_language_model,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_shards": sstable.op6_token_shards,
