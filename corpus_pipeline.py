@@ -30,10 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts: the one with the largest identifier."""
-    own = exact_dedup.owners(docs).select(F.col("keep_id").alias("__id"), F.col("sha").alias("__sha"))
-    keyed = docs.withColumn("__key", F.sha2(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), 256))
-    kept = keyed.join(own, (F.col("__key") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__sha"]).select(*docs.columns)
+    name = lambda sha, i: F.concat_ws("/", sha, F.coalesce(i.cast("string"), F.lit("null")))
+    own = exact_dedup.owners(docs).select(name(F.col("sha"), F.col("keep_id")).alias("__owner"))
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), 256)
+    kept = docs.withColumn("__owner", name(sha, F.col("doc_id"))).join(own, "__owner")
+    # Repeated rows of an owner share its name; the join has dealt and sorted by it already.
+    return kept.dropDuplicates(["__owner"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
