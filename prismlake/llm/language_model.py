@@ -348,7 +348,7 @@ def score_tokens(model: Model, before: np.ndarray, word: np.ndarray) -> tuple[np
     (follow,) = store.find(w48, (w48 >> np.uint64(48 - _BITS)).astype(np.int64), "words", "<u8 <u8", 0, [1])
     of_word, of_context = inverse[: len(word)], inverse[len(word) :]
     count = np.where(word == END, model.texts, np.where(each == BEGIN, 0, total)[of_word])
-    lower = model.word_mass / (model.vocabulary + 1) + (np.maximum(follow - _discount(follow, model.word_discounts), 0) / model.continuations if model.continuations else 0)
+    lower = model.word_mass / (model.vocabulary + 1) + np.maximum(follow - _discount(follow, model.word_discounts), 0) / max(1, model.continuations)
     d1, d2, d3 = model.pair_discounts
     with np.errstate(divide="ignore", invalid="ignore"):
         mass = np.where(total > 0, (d1 * s1 + d2 * s2 + d3 * s3) / total, 1.0)

@@ -168,8 +168,8 @@ def mixed_documents(df: DataFrame, text: str = "text", block: int = 256, shards:
     Documents without words have nothing to take and give no row.
     """
     keep = df.columns
-    sized = df.withColumn("size", word_count(F.col(text)))
-    docs, tgt = _plan(sized.select("doc_id", "source", "size", F.struct(*[F.col(c) for c in keep]).alias("__row")), weights, share, buckets)
+    sized = df.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.struct(*[F.col(c) for c in keep]).alias("__row"))
+    docs, tgt = _plan(sized, weights, share, buckets)
     docs = docs.filter("size > 0")
     narrow = docs.drop("__row")
     drawn = _spans(narrow, tgt, block, shards, seed).filter("hi > lo").groupBy("__s", "doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__parts"))
