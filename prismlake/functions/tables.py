@@ -46,18 +46,20 @@ UNZIGZAG = [ZIGZAG.index(p) for p in range(64)]
 
 
 @cache
-def basis() -> np.ndarray:
-    """64 x 64: coefficient (8u + v) of sample (8x + y) in the orthonormal 2-D transform.
-
-    The factors are multiplied in the order scale, row, column.
-    """
-    wave = np.array([[math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+def waves() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column cosines (64 samples 8x + y by 64 coefficients 8u + v each) and the coefficients' scales."""
+    wave = np.array([[math.cos((2 * x + 1) * u * math.pi / 16) for u in range(8)] for x in range(8)])
     norm = [1 / math.sqrt(2)] + [1.0] * 7
-    out = np.empty((64, 64))
-    for u in range(8):
-        for v in range(8):
-            out[8 * u + v] = ((2 / 8) * norm[u]) * norm[v] * np.outer(wave[u], wave[v]).ravel()
-    return out
+    rows = np.repeat(np.repeat(wave, 8, axis=0), 8, axis=1)
+    columns = np.tile(wave, (8, 8))
+    return rows, columns, np.array([((2 / 8) * norm[u]) * norm[v] for u in range(8) for v in range(8)])
+
+
+@cache
+def basis() -> np.ndarray:
+    """64 x 64: coefficient (8u + v) of sample (8x + y) in the orthonormal 2-D transform."""
+    rows, columns, scale = waves()
+    return (rows * columns).T * scale[:, None]
 
 
 def int_array(values) -> Column:
