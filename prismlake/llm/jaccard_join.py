@@ -45,7 +45,6 @@ from .storage import remove, written
 from .textkernel import mix64, mix_int, slices, word_hashes
 
 WORDS = 5
-BUCKETS = 256
 LEVELS = 3
 _NULL_ID = (1 << 63) - 1
 
@@ -230,7 +229,7 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long")
 
 
-def _signed(docs: DataFrame, words: int, chunk: int = 1_000_000) -> DataFrame:
+def _signed(docs: DataFrame, words: int, bits: int, chunk: int = 1_000_000) -> DataFrame:
     """Signatures of a task's different sets, cut by bucket: packed signatures and identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +240,7 @@ def _signed(docs: DataFrame, words: int, chunk: int = 1_000_000) -> DataFrame:
             every, owner = np.concatenate(held), np.repeat(np.array(ids, dtype=np.int64), counts)
             order = np.argsort(every)
             every, owner = every[order], owner[order]
-            cuts = np.searchsorted(every >> np.uint64(56), np.arange(BUCKETS + 1))
+            cuts = np.searchsorted(every >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_planes(every[part] >> np.uint64(8), 6)], pa.binary()), pa.array([_planes(owner[part], 8)], pa.binary())], ["bucket", "signatures", "owners"])
@@ -400,13 +399,15 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     if percent < 80:
         raise ValueError("the signature windows hold for a similarity of 0.8 and above")
     spark = df.sparkSession
+    # As many signature buckets as the shuffle has partitions, 256 to 65536.
+    bits = min(16, max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).alias("text"))
     sized, sized_at = written(_sizes(docs, words), "shingle-sizes")
     # Copies: all but the smallest identifier of the documents with one set.
     prints = ["n", "f1", "f2"]
     rep = sized.filter("n > 0").groupBy(*prints).agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
     copies, copies_at = written(sized.join(rep, prints).filter("id <> rep").select("id", "rep").dropDuplicates(["id"]), "copies")
-    member, member_at = written(_runs(_signed(docs, words)).join(copies, "id", "left_anti"), "signature-runs")
+    member, member_at = written(_runs(_signed(docs, words, bits)).join(copies, "id", "left_anti"), "signature-runs")
 
     leader = member.groupBy("run").agg(F.min("id").alias("a"))
     first = member.join(leader, "run").filter("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))

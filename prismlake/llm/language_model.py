@@ -30,7 +30,9 @@ no rows.
 
 from __future__ import annotations
 
+import mmap
 import struct
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,8 +49,12 @@ from .textkernel import mix64, slices, word_hashes
 
 #: Stand for the start and the end of a text.
 BEGIN, END = np.uint64(0x6F4A91B3C2D5E807), np.uint64(0x1B873593CC9E2D51)
-_BITS = 8
-BUCKETS = 1 << _BITS
+
+
+def bucket_bits(partitions: int) -> int:
+    """Bits that number the buckets: at least as many as the shuffle has partitions, 256 to 65536."""
+    return min(16, max(8, (partitions - 1).bit_length()))
+
 
 
 def pair_key(before: np.ndarray, word48: np.ndarray) -> np.ndarray:
@@ -57,8 +63,8 @@ def pair_key(before: np.ndarray, word48: np.ndarray) -> np.ndarray:
     return (context & np.uint64(0xFFFF << 48)) | (mix64(context ^ (word48 * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(16))
 
 
-def _bucket(context: np.ndarray) -> np.ndarray:
-    return (mix64(context) >> np.uint64(64 - _BITS)).astype(np.int64)
+def _bucket(context: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(context) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +106,7 @@ def _unpack(blob, kinds: str) -> list[np.ndarray]:
 _PAIRS = "<u8 <u4 <u4 <u2 <u4"
 
 
-def _count_pairs(before: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _count_pairs(before: np.ndarray, word: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
     """Counts of a chunk's pairs as one packed blob per bucket."""
     w48 = word >> np.uint64(16)
     key = pair_key(before, w48)
@@ -110,9 +116,9 @@ def _count_pairs(before: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, by
     first, count = order[start[:-1]], np.diff(start).astype(np.uint32)
     before, w48 = before[first], w48[first]
     # Keys of one context share 16 bits only: bring each context's pairs together.
-    by_context = np.lexsort((w48, before, _bucket(before)))
+    by_context = np.lexsort((w48, before, _bucket(before, bits)))
     before, w48, count = before[by_context], w48[by_context], count[by_context]
-    cuts = np.searchsorted(_bucket(before), np.arange(BUCKETS + 1))
+    cuts = np.searchsorted(_bucket(before, bits), np.arange((1 << bits) + 1))
     hi, lo = (w48 >> np.uint64(16)).astype("<u4"), (w48 & np.uint64(0xFFFF)).astype("<u2")
     for b in np.flatnonzero(np.diff(cuts)):
         part = slice(cuts[b], cuts[b + 1])
@@ -181,6 +187,7 @@ class Model:
     """A stored model: its folder and the numbers that are not per word or pair."""
 
     path: str
+    bits: int
     train_tokens: int
     vocabulary: int
     texts: int
@@ -217,6 +224,7 @@ def train(df: DataFrame, text: str = "text", chunk: int = 2_000_000) -> Model:
     """Counts the texts of ``df`` and stores the model in the shared folder."""
     spark = df.sparkSession
     path = fresh_path(spark, "language-model")
+    bits = bucket_bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
     store, folder = filesystem(path)
     store.create_dir(folder, recursive=True)
 
@@ -224,7 +232,7 @@ def train(df: DataFrame, text: str = "text", chunk: int = 2_000_000) -> Model:
         held, size = [], 0
 
         def emit():
-            for b, blob in _count_pairs(*[np.concatenate(x) for x in zip(*held, strict=True)]):
+            for b, blob in _count_pairs(*[np.concatenate(x) for x in zip(*held, strict=True)], bits):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -259,7 +267,7 @@ def train(df: DataFrame, text: str = "text", chunk: int = 2_000_000) -> Model:
             yield from spread(words[0], counts[0])
 
     def spread(w48: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.searchsorted(w48 >> np.uint64(48 - _BITS), np.arange(BUCKETS + 1))
+        cuts = np.searchsorted(w48 >> np.uint64(48 - bits), np.arange((1 << bits) + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[b], cuts[b + 1])
             yield _row("words", int(b), _pack(w48[part], count[part].astype("<u4")))
@@ -281,14 +289,21 @@ def train(df: DataFrame, text: str = "text", chunk: int = 2_000_000) -> Model:
     discounts = _discounts(vector(word_stats, "coc", 4))
     mass = total(word_stats, "tokens")
     freed = float(np.dot(discounts, vector(word_stats, "seen", 3)))
-    return Model(path, total(pair_stats, "tokens") + texts, total(pair_stats, "words") + (texts > 0), texts, _discounts(vector(pair_stats, "coc", 4)), discounts, mass, freed / mass if mass else 1.0)
+    return Model(path, bits, total(pair_stats, "tokens") + texts, total(pair_stats, "words") + (texts > 0), texts, _discounts(vector(pair_stats, "coc", 4)), discounts, mass, freed / mass if mass else 1.0)
+
+
+def _mapped(name: str) -> mmap.mmap:
+    """A file mapped for reading; where Python can, without a descriptor held for it."""
+    with open(name, "rb") as f:
+        kept = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **kept)
 
 
 class Arrays:
     """The model's files, mapped into memory when first asked for."""
 
-    def __init__(self, path: str):
-        self.path, self.open = path, {}
+    def __init__(self, path: str, bits: int):
+        self.path, self.bits, self.open = path, bits, {}
 
     def get(self, name: str, kinds: str) -> list[np.ndarray] | None:
         if name not in self.open:
@@ -300,19 +315,19 @@ class Arrays:
         if store.get_file_info(f"{folder}/{name}").type.name != "File":
             return None
         if store.type_name == "local":
-            return _unpack(np.memmap(f"{folder}/{name}", np.uint8, "r"), kinds)
+            return _unpack(_mapped(f"{folder}/{name}"), kinds)
         import tempfile
 
         with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(f"{folder}/{name}") as source:
             while block := source.read(1 << 24):
                 copy.write(block)
             copy.flush()
-            return _unpack(np.memmap(copy.name, np.uint8, "r"), kinds)  # the mapping outlives the name
+            return _unpack(_mapped(copy.name), kinds)  # the mapping outlives the name
 
     def find(self, sorted_query: np.ndarray, bucket: np.ndarray, name: str, kinds: str, key: int, values: list[int]) -> list[np.ndarray]:
         """Values (0 where absent) of sorted queries; buckets ascend with the queries."""
         out = [np.zeros(len(sorted_query), np.int64) for _ in values]
-        cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        cuts = np.searchsorted(bucket, np.arange((1 << self.bits) + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             arrays = self.get(f"{name}-{b:05d}", kinds)
             if arrays is None or not len(arrays[key]):
@@ -326,8 +341,8 @@ class Arrays:
 
 
 @cache
-def arrays(path: str) -> Arrays:
-    return Arrays(path)
+def arrays(path: str, bits: int) -> Arrays:
+    return Arrays(path, bits)
 
 
 def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -336,16 +351,17 @@ def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 def score_tokens(model: Model, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 probability, training count) of every token."""
-    store = arrays(model.path)
+    store, bits = arrays(model.path, model.bits), model.bits
     # Words and contexts: one lookup for each different one.
     each, inverse = np.unique(np.concatenate([word, before]), return_inverse=True)
-    spot = np.argsort(_bucket(each), kind="stable")
-    total, s1, s2, s3 = store.find(each[spot], _bucket(each)[spot], "pairs", _PAIR_FILE, 1, [2, 4, 5, 6])
+    bucket = _bucket(each, bits)
+    spot = np.argsort(bucket, kind="stable")
+    total, s1, s2, s3 = store.find(each[spot], bucket[spot], "pairs", _PAIR_FILE, 1, [2, 4, 5, 6])
     back = np.empty(len(spot), np.int64)
     back[spot] = np.arange(len(spot))
     total, s1, s2, s3 = (x[back] for x in (total, s1, s2, s3))
     w48 = each >> np.uint64(16)
-    (follow,) = store.find(w48, (w48 >> np.uint64(48 - _BITS)).astype(np.int64), "words", "<u8 <u8", 0, [1])
+    (follow,) = store.find(w48, (w48 >> np.uint64(48 - bits)).astype(np.int64), "words", "<u8 <u8", 0, [1])
     of_word, of_context = inverse[: len(word)], inverse[len(word) :]
     count = np.where(word == END, model.texts, np.where(each == BEGIN, 0, total)[of_word])
     lower = model.word_mass / (model.vocabulary + 1) + np.maximum(follow - _discount(follow, model.word_discounts), 0) / max(1, model.continuations)
@@ -353,7 +369,7 @@ def score_tokens(model: Model, before: np.ndarray, word: np.ndarray) -> tuple[np
     with np.errstate(divide="ignore", invalid="ignore"):
         mass = np.where(total > 0, (d1 * s1 + d2 * s2 + d3 * s3) / total, 1.0)
     key, place = np.unique(pair_key(before, word >> np.uint64(16)), return_inverse=True)
-    (pairs,) = store.find(key, (key >> np.uint64(64 - _BITS)).astype(np.int64), "pairs", _PAIR_FILE, 0, [3])
+    (pairs,) = store.find(key, (key >> np.uint64(64 - bits)).astype(np.int64), "pairs", _PAIR_FILE, 0, [3])
     pairs = pairs[place]
     upper = np.maximum(pairs - _discount(pairs, model.pair_discounts), 0) / np.maximum(total[of_context], 1)
     return np.log10(upper + mass[of_context] * lower[of_word]), count
