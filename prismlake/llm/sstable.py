@@ -29,20 +29,23 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .byte_bpe import _Memo
 from .storage import filesystem, fresh_path, written
 from .textkernel import slices
 
@@ -206,36 +209,71 @@ class ShardReader:
 
 #: Characters that split words for the vocabulary's normaliser (Unicode White_Space).
 _GAPS = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Controls that Python splits at and the normaliser doesn't.
 _NOT_GAPS = re.compile("[\x1c-\x1f]")
 
+#: The file's splitter.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words of Latin letters, digits and visible signs: cut and lower-cased here as the file does it.
+_LATIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
+#: How the byte-level model writes a byte: visible Latin-1 as it is, the rest from U+0100 on in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
 
 class WordTokenizer:
-    """A word-level tokenizer file of the tokenizers library with a bounded memo of words."""
+    """A word-level tokenizer file of the tokenizers library with bounded memos of words and of their pieces.
+
+    Latin words are composed, lower-cased and cut as the file says, so that words
+    that differ in case or punctuation share pieces, and the library's model merges
+    each new piece; every other word goes through the library whole.
+    """
 
-    def __init__(self, path: str, memo: int = 700_000):
+    def __init__(self, path: str, memo: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
-        self.memo = _Memo(lambda w: self._pack(self.lib.encode(w, add_special_tokens=False).ids), memo)
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        wide = self.lib.get_vocab_size() > 1 << 16
+        self.width, self.code = (4, "I") if wide else (2, "H")
+        self.most, self.words, self.pieces = memo, {}, {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_AS_CHAR)
+        return self.pack([t.id for t in self.lib.model.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        if not _LATIN.fullmatch(word):
+            return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+        pieces, out = self.pieces, []
+        for p in _PIECE.findall(word.lower()):
+            ids = pieces.get(p)
+            if ids is None:
+                ids = pieces[p] = self._merge(p)
+            out.append(ids)
+        return b"".join(out)
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        words = [(_GAPS.split(t) if _NOT_GAPS.search(t) else t.split()) if t else [] for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.memo and len(w) <= self.memo.longest})
-        if len(self.memo) + len(new) > self.memo.most:
-            self.memo.clear()
-            new = list({w for ws in words for w in ws if len(w) <= self.memo.longest})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = self._pack(e.ids)
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in words]
+        split = [(_GAPS.split(t) if _NOT_GAPS.search(t) else t.split()) if t else [] for t in texts]
+        every = set().union(*split)
+        new = {w for w in every if w not in self.words}
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+            new = every
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        self.words.update({w: self._word(w) for w in new})
+        get = self.words.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 @cache
@@ -258,7 +296,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = filesystem(path)
         part, coder = TaskContext.get().partitionId(), word_tokenizer(tokenizer)
-        end = np.array([end_id], dtype=coder.kind).tobytes()
+        end = coder.pack([end_id])
         out, writer, name, temp, last, seq = [], None, "", "", None, 0
 
         def close():
@@ -270,7 +308,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
             for piece in slices(batch, text):
                 keys = piece.column(key).to_pylist()
                 for k, value in zip(keys, coder.encode_texts(piece.column(text).to_pylist()), strict=True):
-                    if writer is None or writer.offset >= shard_bytes:
+                    if writer is None or writer.offset + len(writer.block) >= shard_bytes:
                         if writer is not None:
                             close()
                         name, temp = f"shard-{part:06d}-{len(out):04d}.sst", f".{uuid.uuid4().hex}"
