@@ -19,7 +19,9 @@ Signatures travel as packed arrays cut by hash.  Runs of equal signatures are
 candidates: each member is first compared with the smallest member it meets;
 then only runs that still span different components are looked at again, where
 counts of differing cells (a lower bound of the difference) rule pairs out before
-the sets themselves are compared.  Copies (equal sets) are collapsed first.
+the sets themselves are compared.  Of the pairs left, a run first tries a forest:
+where all its pairs are links, the run's other pairs are joined by them already;
+where one fails, all the run's remaining pairs are compared.  Pairs are compared once.  Copies (equal sets) are collapsed first.
 
 Defined results for odd input: a null or empty text has an empty set and is linked
 with nothing; texts of fewer than five words have their whole word sequence as
@@ -338,57 +340,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * common >= percent * union).select("a", "b")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a run that cell counts don't rule out.
+def _across(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Candidate pairs (run, a, b) of different components within a run that cell counts don't rule out.
 
-    Rows: run, id, component, n, sketch.  Members are compared in blocks.
+    Rows: run, id, component, n, sketch, and failed: partners that the member is
+    known not to be linked with.  With ``every``, all such pairs, once a task;
+    else only so many that they would join all that such pairs join (a forest,
+    likeliest pairs first): fewer pairs than the run has members.
     """
 
     def of_run(member: list[tuple]) -> Iterator[tuple[int, int]]:
         if len(member) < 2:
             return
         member.sort(key=lambda m: m[2])
-        ids, comp, size = (np.array([m[k] for m in member], dtype=np.int64) for k in (0, 1, 2))
+        ids, tree, size = (np.array([m[k] for m in member], dtype=np.int64) for k in (0, 1, 2))
         sketch = [np.frombuffer(m[3], np.uint8) for m in member]
         cells = min(map(len, sketch))
         cell = np.stack([_fold(s, cells) for s in sketch])
         for i in range(len(member) - 1):
             last = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
+            failed = set(member[i][4] or ())
             for at in range(i + 1, last, 4096):
                 part = slice(at, min(last, at + 4096))
                 differ = (cell[part] != cell[i]).sum(axis=1)
                 # Jaccard >= p/100 allows (a + b) * (100 - p) / (100 + p) differences at most.
-                near = (comp[part] != comp[i]) & (differ * (100 + percent) <= (size[i] + size[part]) * (100 - percent))
-                for j in np.flatnonzero(near):
+                near = np.flatnonzero((tree[part] != tree[i]) & (differ * (100 + percent) <= (size[i] + size[part]) * (100 - percent)))
+                if not every:
+                    near = near[np.argsort(differ[near], kind="stable")]
+                for j in near:
+                    if failed and int(ids[at + j]) in failed:
+                        continue
+                    if not every:
+                        if tree[at + j] == tree[i]:
+                            continue
+                        tree[tree == tree[at + j]] = tree[i]
                     a, b = int(ids[i]), int(ids[at + j])
                     yield (a, b) if a < b else (b, a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[int, int, int]] = []
 
         def full():
-            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], ["run", "a", "b"])
             found.clear()
             return out
 
+        once: set[tuple[int, int]] = set()
+
+        def take(now: int, held: list[tuple]) -> None:
+            for p in of_run(held):
+                if not every or p not in once:
+                    found.append((now, *p))
+                    if every:
+                        once.add(p)
+
         now, held = None, []
         for batch in batches:
-            for r, *m in zip(*[batch.column(c).to_pylist() for c in ("run", "id", "component", "n", "sketch")], strict=True):
+            for r, *m in zip(*[batch.column(c).to_pylist() for c in ("run", "id", "component", "n", "sketch", "failed")], strict=True):
                 if r != now:
-                    for p in of_run(held):
-                        found.add(p)
-                        if len(found) >= 200_000:
-                            yield full()
+                    take(now, held)
+                    if len(found) >= 100_000:
+                        yield full()
+                        once.clear()
                     held = []
                 now = r
                 held.append(tuple(m))
-        for p in of_run(held):
-            found.add(p)
+        take(now, held)
         if found:
             yield full()
 
-    dealt = rows.repartition("run").sortWithinPartitions("run")
-    return dealt.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
+    return rows.repartition("run").sortWithinPartitions("run").mapInArrow(run, "run long, a long, b long")
+
+
+def _mixed(member: DataFrame, component: DataFrame, sets: DataFrame, failed: DataFrame) -> DataFrame:
+    """Members of the runs that still span several components, with what ``_across`` needs."""
+    both = failed.select(F.col("a").alias("id"), F.col("b").alias("f")).unionByName(failed.select(F.col("b").alias("id"), F.col("a").alias("f")))
+    known = sets.select("id", F.size("shingles").cast("long").alias("n"), "sketch").join(both.groupBy("id").agg(F.collect_set("f").alias("failed")), "id", "left")
+    placed = member.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    runs = placed.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run")
+    return placed.join(runs, "run").join(known, "id").select("run", "id", "component", "n", "sketch", "failed")
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -415,13 +445,26 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     sets, sets_at = written(_sets(docs.join(wanted, "id").dropDuplicates(["id"]), words), "candidate-sets")
     edges, edges_at = written(_verified(first, sets, percent), "links")
 
-    component, component_at = written(connected_components(edges), "components")
-    placed = member.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run")
-    rows = placed.join(mixed, "run").join(sets.select("id", F.size("shingles").cast("long").alias("n"), "sketch"), "id")
-    more, more_at = written(_verified(_across(rows.select("run", "id", "component", "n", "sketch"), percent), sets, percent), "further-links")
-    last, last_at = written(connected_components(edges.unionByName(more)), "all-components")
-    remove(spark, member_at, sets_at, edges_at, component_at, more_at)
+    # Runs still mixed: first a sixteenth of them, which already joins large groups, then all, by forests of
+    # candidates; then the runs whose forest had a pair that failed, by every candidate, again a part of them
+    # first: pairs that failed once are not tried again.
+    every, gone = edges, [member_at, sets_at, edges_at]
+    failed, some = edges.limit(0), member
+    for share, whole in ((16, False), (1, False), (16, True), (1, True)):
+        component, at = written(connected_components(every), "components")
+        gone.append(at)
+        part = some.filter(F.pmod("run", F.lit(share)) == 0)
+        tried, at = written(_across(_mixed(part, component, sets, failed), percent, whole), "candidates")
+        more, more_at = written(_verified(tried.select("a", "b").distinct(), sets, percent), "links")
+        lost = tried.join(more, ["a", "b"], "left_anti")
+        if (share, whole) == (1, False):
+            some, some_at = written(member.join(lost.select("run").distinct(), "run"), "open-runs")
+            gone.append(some_at)
+        failed = failed.unionByName(lost.select("a", "b")).distinct()
+        every = every.unionByName(more)
+        gone += [at, more_at]
+    last, _ = written(connected_components(every), "components")
+    remove(spark, *gone)
 
     out = sized.join(copies, "id", "left").withColumn("node", F.coalesce("rep", "id")).join(last, "node", "left")
     found = F.coalesce("component", "node")
