@@ -359,7 +359,9 @@ def read_shards(manifest: DataFrame, path: str, key: str = "doc_id", ids: bool =
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return placed.repartition("shard").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    # A number of its own, as adaptive execution would put so small a table into one task.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "shard").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def op6_token_shards(spark, sf_dir: str) -> DataFrame:
