@@ -25,8 +25,9 @@ where one fails, all the run's remaining pairs are compared.  Pairs are compared
 
 Defined results for odd input: a null or empty text has an empty set and is linked
 with nothing; texts of fewer than five words have their whole word sequence as
-one shingle.  Rows that repeat an identifier count as one document with the links
-of all of them, and each row reports its own set size.  A null identifier counts
+one shingle.  Inside, a set under a null or repeated identifier goes by its own
+64-bit hash, any other by its identifier, so different texts under one identifier
+have each their own links, and each row reports its own.  A null identifier counts
 as the largest.  Extra columns play no part.  An empty table gives no rows.
 """
 
@@ -39,16 +40,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from .components import connected_components
-from .storage import remove, written
+from .storage import add_columns, remove, written
 from .textkernel import mix64, mix_int, slices, word_hashes
 
 WORDS = 5
 LEVELS = 3
-_NULL_ID = (1 << 63) - 1
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -421,23 +422,46 @@ def _mixed(member: DataFrame, component: DataFrame, sets: DataFrame, failed: Dat
     return placed.join(runs, "run").join(known, "id").select("run", "id", "component", "n", "sketch", "failed")
 
 
-def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (the smallest key reachable by links, itself included).
+def _with_prints(df: DataFrame, text: str, words: int) -> DataFrame:
+    """Rows with their set's size and fingerprint as __n, __f1 and __f2."""
 
-    ``percent`` must be 80 or more, as the windows are built for a similarity of 0.8.
+    def make(column: pa.Array) -> list[pa.Array]:
+        sets = shingle_sets(column, words)
+        prints = [_fingerprint(s) for s in sets]
+        return [pa.array([len(s) for s in sets], pa.int64()), *[pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)]]
+
+    return add_columns(df, text, [StructField(c, LongType()) for c in ("__n", "__f1", "__f2")], make)
+
+
+def _placed(df: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, n, f1, f2, component and label of every row; identifiers of several rows; whether any is null or repeated).
+
+    ``component`` is the smallest node that links reach (null for empty sets under a null or repeated
+    identifier); ``label`` is the component's smallest identifier.
     """
     if percent < 80:
         raise ValueError("the signature windows hold for a similarity of 0.8 and above")
     spark = df.sparkSession
     # As many signature buckets as the shuffle has partitions, 256 to 65536.
     bits = min(16, max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sized, sized_at = written(_sizes(docs, words), "shingle-sizes")
-    # Copies: all but the smallest identifier of the documents with one set.
+    repeated, _ = written(sized.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "repeated-ids")
+    several = not (repeated.isEmpty() and sized.filter("id IS NULL").isEmpty())
+    if several:
+        unique, other = _split(sized, "id", repeated)
+        named = unique.withColumn("node", F.col("id")).unionByName(other.withColumn("node", F.when(F.col("n") > 0, F.col("f1"))))
+        sized, _ = written(named, "shingle-sizes")
+        remove(spark, sized_at)
+        alone, rest = _split(docs, "id", repeated)
+        docs = alone.unionByName(_with_prints(rest, "text", words).select(F.col("__f1").alias("id"), "text"))
+    else:
+        sized = sized.withColumn("node", F.col("id"))
+    # Copies: all but the smallest node of the documents with one set.
     prints = ["n", "f1", "f2"]
-    rep = sized.filter("n > 0").groupBy(*prints).agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    copies, copies_at = written(sized.join(rep, prints).filter("id <> rep").select("id", "rep").dropDuplicates(["id"]), "copies")
-    member, member_at = written(_runs(_signed(docs, words, bits)).join(copies, "id", "left_anti"), "signature-runs")
+    rep = sized.filter("n > 0").groupBy(*prints).agg(F.min("node").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    copies, copies_at = written(sized.join(rep, prints).filter("node <> rep").select("node", "rep").dropDuplicates(["node"]), "copies")
+    member, member_at = written(_runs(_signed(docs, words, bits)).join(copies.withColumnRenamed("node", "id"), "id", "left_anti"), "signature-runs")
 
     leader = member.groupBy("run").agg(F.min("id").alias("a"))
     first = member.join(leader, "run").filter("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
@@ -466,10 +490,54 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     last, _ = written(connected_components(every), "components")
     remove(spark, *gone)
 
-    out = sized.join(copies, "id", "left").withColumn("node", F.coalesce("rep", "id")).join(last, "node", "left")
-    found = F.coalesce("component", "node")
-    plain = lambda c: F.when(c != F.lit(_NULL_ID), c)
-    return out.select(plain(F.col("id")).alias(key), F.col("n").alias("n_shingles"), plain(found).alias("component_id"))
+    out = sized.filter("node IS NOT NULL").join(copies, "node", "left").withColumn("node", F.coalesce("rep", "node")).join(last, "node", "left")
+    out = out.select("id", *prints, F.coalesce("component", "node").alias("component"))
+    if not several:
+        return out.withColumn("label", F.col("component")), repeated, several
+    # The smallest node names most components rightly; the others get their smallest identifier, null if none has one.
+    least = out.groupBy("component").agg(F.min("id").alias("least")).filter(~F.col("component").eqNullSafe(F.col("least")))
+    out = out.join(least.withColumn("named", F.lit(True)), "component", "left")
+    out = out.select("id", *prints, "component", F.when(F.col("named"), F.col("least")).otherwise(F.col("component")).alias("label"))
+    empty = sized.filter("node IS NULL").select("id", *prints, F.col("node").alias("component"), F.col("id").alias("label"))
+    return out.unionByName(empty), repeated, several
+
+
+def _split(df: DataFrame, key: str, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose identifier no other row has, rows with a null or repeated one)."""
+    ids = repeated.select(F.col("id").alias("__id"))
+    same = F.col(key).cast("long") == F.col("__id")
+    return df.filter(F.col(key).isNotNull()).join(ids, same, "left_anti"), df.filter(F.col(key).isNull()).unionByName(df.join(ids, same, "left_semi"))
+
+
+def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
+    """One row per document: key, n_shingles, component_id (the smallest key reachable by links, itself included).
+
+    ``percent`` must be 80 or more, as the windows are built for a similarity of 0.8.
+    """
+    rows, _, _ = _placed(df, key, text, words, percent)
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+
+
+def firsts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` without all but one of every group of linked documents: a row with the smallest key stays.
+
+    Among rows of that key the smallest set fingerprint decides; rows without words all stay.
+    """
+    rows, repeated, several = _placed(df, key, text, words, percent)
+    same = F.col(key).cast("long").eqNullSafe(F.col("__id"))
+    if not several:
+        gone = rows.filter("id <> label").select(F.col("id").alias("__id"))
+        return df.join(gone, same, "left_anti")
+    rows = rows.filter("n > 0").withColumn("place", F.struct(F.col("id").isNull().alias("last"), "id", "f1", "f2"))
+    best = rows.groupBy("component").agg(F.min("place").alias("best"))
+    gone = rows.join(best, "component").filter("place <> best").select(F.col("id").alias("__id"), F.col("f1").alias("__g1"), F.col("f2").alias("__g2")).distinct()
+    gone, _ = written(gone, "gone")
+    alone, rest = _split(df, key, repeated)
+    alone = alone.join(gone.select("__id"), same, "left_anti")
+    rest = _with_prints(rest, text, words).join(gone, same & (F.col("__f1") == F.col("__g1")) & (F.col("__f2") == F.col("__g2")), "left_anti")
+    # Of rows alike in key and set one stays; rows without words are told apart by their number.
+    rest = rest.withColumn("__row", F.when(F.col("__n") == 0, F.monotonically_increasing_id())).dropDuplicates([key, "__f1", "__f2", "__row"])
+    return alone.unionByName(rest.select(*df.columns))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

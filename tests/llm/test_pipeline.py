@@ -84,6 +84,33 @@ def test_near(spark, docs):
     assert sorted(map(repr, (i for i, _, _ in rows(out)))) == sorted(repr(i) for i, _ in sets if find(i) == i)
 
 
+def test_near_under_null_and_repeated_ids(spark):
+    """Texts under one identifier go or stay each by its own links; rows without words stay."""
+    text = lambda k, n=60, cut=0: " ".join(f"w{k}x{i}" for i in range(cut, n))
+    given = [
+        (5, text(1)), (None, text(1, cut=1)), (None, text(2)), (None, text(3)), (None, text(3, cut=2)), (None, text(3).replace(" ", "  ")),
+        (7, text(4)), (7, text(5)), (6, text(4, cut=2)), (9, text(5, cut=1)), (8, text(6)), (8, text(6, cut=1)), (8, text(7)),
+        (None, ""), (None, None), (5, ""), (2, " "), (10, text(8)), (11, text(8, cut=3)), (12, text(3, cut=1)),
+    ]
+    table = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    sets = [s for _, s in _sets((i, t, None) for i, t in given)]
+    group = list(range(len(given)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {g: min((given[k][0] for k in range(len(given)) if group[k] == g), key=lambda v: (v is None, v or 0)) for g in group}
+    linked = corpus_pipeline.jaccard_join.link(table)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in linked.collect()) == Counter((i, len(sets[k]), least[group[k]]) for k, (i, _) in enumerate(given))
+    out = rows(corpus_pipeline.near(spark, table, DATA))
+    place = {}
+    for k, (_, t) in enumerate(given):
+        place.setdefault(t, group[k])
+    assert Counter(place[t] for _, t, _ in out if words(t)) == Counter({g: 1 for k, g in enumerate(group) if sets[k]})
+    assert all(i == least[place[t]] for i, t, _ in out if words(t))
+    assert Counter((i, t) for i, t, _ in out if not words(t)) == Counter((i, t) for i, t in given if not words(t))
+
+
 def test_mix(spark, docs):
     out = corpus_pipeline.mix(spark, docs, DATA)
     assert out.columns == docs.columns
