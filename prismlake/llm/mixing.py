@@ -1,14 +1,14 @@
 """Mixing sources to target weights over fixed-length blocks of words.
 
 Each source's documents form one stream of words, packed into blocks of
-``block`` words; the words left over form a last, shorter block.  A source takes
-whole passes over its stream and one partial pass.  In a partial pass, slot
-``i`` takes the full block ``p(i)`` of a pseudorandom permutation ``p`` of the
-source's block numbers (a mixed-radix Feistel network with cycle walking), the
-final slot being cut to the words that remain.  Every slot falls into an output
-shard by a uniform hash draw, so the source counts per shard are multinomial
-while each source's total stays at its target.  Slots and blocks meet in a join
-on the block number.
+``block`` words; the words left over form a last, shorter block.  A source's
+target is dealt in slots, pass after pass over its blocks, the last pass being
+cut to the words that remain.  In each pass, slot ``i`` takes the full block
+``p(i)`` of the pass's pseudorandom permutation ``p`` of the source's block
+numbers (a mixed-radix Feistel network with cycle walking); the shorter block
+comes last.  Every slot falls into an output shard by a uniform hash draw, so
+the source counts per shard are multinomial while each source's total stays at
+its target.  Slots and blocks meet in a join on the block number.
 
 Only DataFrame functions are used.  Prefix sums run in two levels (buckets of a
 source, then inside a bucket), so that a hot source never sits in one task.
@@ -90,7 +90,7 @@ def _source_key() -> Column:
 
 
 def _plan(df: DataFrame, weights: tuple[float, ...], share: float, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with source_size, target, passes and start; targets per source).
+    """(documents with source_size, target and start; targets per source).
 
     ``start`` counts the words of the source's stream before the document.
     """
@@ -98,8 +98,7 @@ def _plan(df: DataFrame, weights: tuple[float, ...], share: float, buckets: int)
     sums = d.groupBy("__s", "__b").agg(F.sum("size").alias("__z"))
     sizes = sums.groupBy("__s").agg(F.sum("__z").alias("source_size"))
     tgt = targets(sizes.select(F.when(~F.col("__s.n"), F.col("__s.v")).alias("source"), "source_size"), weights, share)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("int")
-    known = tgt.select(_source_key().alias("__s"), "source_size", "target", passes.alias("passes"))
+    known = tgt.select(_source_key().alias("__s"), "source_size", "target")
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("__s", "__b", F.coalesce(F.sum("__z").over(before), F.lit(0)).alias("__first")).join(known, "__s")
     rest = sorted(c for c in df.columns if c not in ("source", "doc_id", "size"))
@@ -109,40 +108,43 @@ def _plan(df: DataFrame, weights: tuple[float, ...], share: float, buckets: int)
 
 
 def slots(tgt: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """One row per slot of the partial pass: source, block number, words taken from it, output shard.
-
-    ``passes`` whole passes take every block once each and need no rows.
-    """
-    goal = F.floor("target").cast("long")
-    plan = tgt.filter("source_size > 0").withColumns(
-        {"__left": goal - F.floor(goal / F.col("source_size")).cast("long") * F.col("source_size"), "__full": F.floor(F.col("source_size") / block).cast("long")}
-    )
-    n = F.ceil(F.col("__left") / block).cast("long")
+    """One row per slot of all passes: source, pass, block number, words taken from it, output shard."""
+    full, goal = F.floor(F.col("source_size") / block).cast("long"), F.floor("target").cast("long")
+    plan = tgt.filter("source_size > 0").withColumns({"__goal": goal, "__full": full, "__each": F.ceil(F.col("source_size") / block).cast("long")})
+    passes = F.floor(F.col("__goal") / F.col("source_size")).cast("long")
+    n = passes * F.col("__each") + F.ceil((F.col("__goal") - passes * F.col("source_size")) / block).cast("long")
     # Long sources are dealt in runs of slots so that no task expands a whole source.
     run = 4096
     runs = plan.withColumn("__n", n).filter("__n > 0").withColumn("__r", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / run).cast("long"))))
-    runs = runs.repartition("source", "__r")
+    # A fixed number of partitions: runs are tiny before they are expanded and would be put together.
+    runs = runs.repartition(int(tgt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "__r")
     each = runs.withColumn("slot", F.explode(F.sequence(F.col("__r") * run, F.least(F.col("__n"), (F.col("__r") + 1) * run) - 1)))
-    key = F.xxhash64(F.col("source"), F.lit(seed))
-    place = F.when(F.col("slot") < F.col("__full"), permuted(F.col("slot"), F.greatest(F.col("__full"), F.lit(1)), key)).otherwise(F.col("__full"))
+    each = each.withColumns({"pass": F.floor(F.col("slot") / F.col("__each")).cast("long"), "__i": F.pmod("slot", "__each")})
+    key = F.xxhash64("source", F.lit(seed), "pass")
+    place = F.when(F.col("__i") < F.col("__full"), permuted(F.col("__i"), F.greatest(F.col("__full"), F.lit(1)), key)).otherwise(F.col("__full"))
+    left = F.least(F.col("source_size"), F.col("__goal") - F.col("pass") * F.col("source_size")) - F.col("__i") * block
     return each.select(
         F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("v")).alias("__s"),
+        "pass",
         place.alias("block"),
-        F.least(F.lit(block).cast("long"), F.col("__left") - F.col("slot") * block).alias("words"),
+        F.least(F.lit(block).cast("long"), left).alias("words"),
         F.pmod(F.xxhash64("source", "slot", F.lit(seed + 1)), F.lit(shards)).cast("int").alias("shard"),
     )
 
 
 def draw_counts(tgt: DataFrame, block: int = 256, shards: int = 64, seed: int = 7) -> DataFrame:
-    """The multinomial draw of the partial pass: slots per output shard and source."""
-    return slots(tgt, block, shards, seed).groupBy("shard", F.when(~F.col("__s.n"), F.col("__s.v")).alias("source")).agg(F.count("*").alias("slots"))
+    """The multinomial draw: slots and words per output shard and source."""
+    source = F.when(~F.col("__s.n"), F.col("__s.v")).alias("source")
+    return slots(tgt, block, shards, seed).groupBy("shard", source).agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
 
 
 def _spans(docs: DataFrame, tgt: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """A row per document and block it touches, with the range of its words that the partial pass takes (lo >= hi: none)."""
+    """A row per document, block it touches and slot of that block, with the range of its words that the slot takes (lo >= hi: none)."""
+    nowhere = -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1024))
     touched = F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))
-    spans = docs.withColumn("block", F.explode(F.when(F.col("size") > 0, touched).otherwise(F.array(F.lit(-1).cast("long")))))
-    drawn = spans.join(slots(tgt, block, shards, seed), ["__s", "block"], "left")
+    spans = docs.withColumn("block", F.explode(F.when(F.col("size") > 0, touched).otherwise(F.array(nowhere))))
+    # Slots grow with the input: never broadcast.
+    drawn = spans.join(slots(tgt, block, shards, seed).hint("merge"), ["__s", "block"], "left")
     at = F.col("block") * block
     lo = F.greatest(F.col("start"), at) - F.col("start")
     hi = F.least(F.col("start") + F.col("size"), at + F.coalesce("words", F.lit(0))) - F.col("start")
@@ -150,49 +152,59 @@ def _spans(docs: DataFrame, tgt: DataFrame, block: int, shards: int, seed: int)
 
 
 def taken(df: DataFrame, block: int = 256, shards: int = 64, seed: int = 7, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, buckets: int = 1024) -> DataFrame:
-    """Rows of doc_id, source, size (words) with source_size, target and ``taken``: words the mix takes, repeats counted."""
+    """Rows of doc_id, source, size (words) with source_size, target, ``taken`` (words the mix takes, repeats counted)
+    and ``shards`` (output shards that get words of the document, each with their number)."""
     docs, tgt = _plan(df.select("doc_id", "source", "size"), weights, share, buckets)
-    spans = _spans(docs, tgt, block, shards, seed)
-    extra = spans.groupBy("__s", "doc_id", "start", "size", "source_size", "target", "passes").agg(F.sum(F.col("hi") - F.col("lo")).alias("extra"), F.count_if(F.col("block") < 0).alias("empties"))
+    got = F.col("hi") - F.col("lo")
+    part = F.when(got > 0, F.struct("shard", got.alias("words")))
+    spans = _spans(docs, tgt, block, shards, seed).groupBy("__s", "doc_id", "start", "size", "source_size", "target")
+    found = spans.agg(F.sum(got).alias("taken"), F.collect_list(part).alias("__parts"), F.count_if(F.col("block") < 0).alias("empties"))
     # Repeated rows without words share a place in the stream and are told apart by their number alone.
-    rows = extra.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("empties", F.lit(1).cast("long")))))
+    rows = found.withColumn("__r", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("empties", F.lit(1).cast("long")))))
     source = F.when(~F.col("__s.n"), F.col("__s.v")).alias("source")
-    return rows.select("doc_id", source, "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    words = lambda k: F.aggregate(F.filter("__parts", lambda p: p["shard"] == k), F.lit(0).cast("long"), lambda t, p: t + p["words"])
+    each = F.transform(F.array_sort(F.array_distinct(F.transform("__parts", lambda p: p["shard"]))), lambda k: F.struct(k.alias("shard"), words(k).alias("words")))
+    return rows.select("doc_id", source, "size", "source_size", "target", "taken", each.alias("shards"))
 
 
-def mixed_documents(df: DataFrame, text: str = "text", block: int = 256, shards: int = 64, seed: int = 7, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, buckets: int = 1024) -> DataFrame:
-    """The mix itself: a row per pass over a document and per run of its words in the partial pass.
+def mixed_documents(df: DataFrame, text: str = "text", block: int = 256, shards: int = 64, seed: int = 7, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, buckets: int = 1024, shard: str | None = None) -> DataFrame:
+    """The mix itself: a row per run of a document's words that a pass takes, the whole document in a whole pass.
 
     Rows keep the input's columns; a row of a whole document keeps its text as it
     is, a row of a run has the text from the run's first word to its last.
-    Documents without words have nothing to take and give no row.
+    Documents without words have nothing to take and give no row.  ``shard`` names
+    a column to add for the output shard; runs then end where the shard changes.
     """
     keep = df.columns
     sized = df.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.struct(*[F.col(c) for c in keep]).alias("__row"))
     docs, tgt = _plan(sized, weights, share, buckets)
     docs = docs.filter("size > 0")
     narrow = docs.drop("__row")
-    drawn = _spans(narrow, tgt, block, shards, seed).filter("hi > lo").groupBy("__s", "doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__parts"))
-    joined = docs.join(drawn, ["__s", "doc_id", "start"], "left")
-    run = "struct<lo:bigint,hi:bigint>"
-    whole = F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
+    drawn = _spans(narrow, tgt, block, shards, seed).filter("hi > lo").groupBy("__s", "start").agg(F.sort_array(F.collect_list(F.struct("pass", "lo", "hi", "shard"))).alias("__parts"))
+    # Documents with words have each their own start; a doc_id may be null.
+    joined = docs.join(drawn, ["__s", "start"])
+    run = "struct<pass:bigint,lo:bigint,hi:bigint,shard:int>"
 
     def extend(runs: Column, x: Column) -> Column:
         last = F.element_at(runs, -1)
-        glued = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["lo"].alias("lo"), x["hi"].alias("hi"))))
-        return F.when(F.size(runs) == 0, F.array(x)).when(last["hi"] == x["lo"], glued).otherwise(F.concat(runs, F.array(x)))
+        glued = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["pass"].alias("pass"), last["lo"].alias("lo"), x["hi"].alias("hi"), last["shard"].alias("shard"))))
+        meets = (last["pass"] == x["pass"]) & (last["hi"] == x["lo"])
+        if shard:
+            meets &= last["shard"] == x["shard"]
+        return F.when(F.size(runs) == 0, F.array(x)).when(meets, glued).otherwise(F.concat(runs, F.array(x)))
 
-    runs = F.aggregate(F.coalesce("__parts", F.array().cast(f"array<{run}>")), F.array().cast(f"array<{run}>"), extend)
-    every = joined.withColumn("__run", F.explode(F.concat(F.array_repeat(whole, F.col("passes")), runs)))
+    every = joined.withColumn("__run", F.explode(F.aggregate("__parts", F.array().cast(f"array<{run}>"), extend)))
     words = F.regexp_extract_all(F.col(f"__row.{text}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.rtrim(F.array_join(F.slice(words, (F.col("__run.lo") + 1).cast("int"), (F.col("__run.hi") - F.col("__run.lo")).cast("int")), ""))
     out = every.withColumn("__text", F.when((F.col("__run.lo") == 0) & (F.col("__run.hi") == F.col("size")), F.col(f"__row.{text}")).otherwise(part))
     columns = {c: F.col(f"__row.{c}") for c in keep} | {text: F.col("__text")}
     if "n_chars" in keep:
         columns["n_chars"] = F.length("__text").cast("long")
-    return out.select(*[columns[c].alias(c) for c in keep])
+    if shard:
+        columns |= {shard: F.col("__run.shard")}
+    return out.select(*[columns[c].alias(c) for c in dict.fromkeys([*keep, *([shard] if shard else [])])])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")

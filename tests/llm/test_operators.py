@@ -267,6 +267,37 @@ def test_mixing(docs, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_deals_every_pass(spark):
+    """Capped sources are dealt in slots as well, and shards account for every word taken."""
+    rows = [(i, f"s{i % 3}", 5 + 7 * i % 40) for i in range(60)]
+    out = mixing.taken(spark.createDataFrame(rows, "doc_id long, source string, size long"), block=16, shards=5, buckets=4).cache()
+    tgt = out.select("source", "source_size", "target").distinct()
+    dealt = mixing.slots(tgt, 16, 5, 7).collect()
+    for t in tgt.collect():
+        mine = [r for r in dealt if r["__s"]["v"] == t["source"]]
+        goal, n = math.floor(t["target"]), -(-t["source_size"] // 16)
+        assert sum(r["words"] for r in mine) == goal
+        for k in range(goal // t["source_size"]):
+            assert sorted(r["block"] for r in mine if r["pass"] == k) == list(range(n))
+        if goal == 2 * t["source_size"]:
+            assert [[r["block"] for r in mine if r["pass"] == k] for k in (0, 1)] != [list(range(n))] * 2
+    assert any(r["target"] == 2 * r["source_size"] for r in tgt.collect())
+    words = Counter()
+    for r in out.collect():
+        assert sum(s["words"] for s in r["shards"]) == r["taken"]
+        for s in r["shards"]:
+            words[s["shard"], r["source"]] += s["words"]
+    counts = {(r["shard"], r["source"]): (r["slots"], r["words"]) for r in mixing.draw_counts(tgt, 16, 5, 7).collect()}
+    assert {k: w for k, (_, w) in counts.items()} == words and sum(n for n, _ in counts.values()) == len(dealt)
+
+    texts = spark.createDataFrame([(i, s, " ".join(f"d{i}w{k}" for k in range(n))) for i, s, n in rows], "doc_id long, source string, text string")
+    mixed = mixing.mixed_documents(texts, block=16, shards=5, buckets=4, shard="shard")
+    got = Counter()
+    for r in mixed.collect():
+        got[r["shard"], r["source"]] += len(r["text"].split())
+    assert mixed.columns == [*texts.columns, "shard"] and got == words
+
+
 def test_mixing_permutation(spark):
     for n in (1, 2, 3, 7, 10, 97, 1000):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long")).alias("p")).collect()
