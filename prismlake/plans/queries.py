@@ -6,6 +6,8 @@ device identifiers, events as one-dimensional signals.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..functions import strategy as st
 from ..operators import blocks as bl
 from ..operators import codecs, metrics, sizing
 from ..sources import coefficient_file, synth
-from ..streaming import cache
+from ..streaming import cache as incremental
 
 #: (number, identifier, level) of the copies that the merge queries make.
 COPIES = ((0, "DEVICE-001", 6), (1, "DEVICE-002", 32), (2, "DEVICE-003", 50))
@@ -344,7 +346,7 @@ def image_codecs(spark, d):
 
 def incremental_cache(spark, d):
     blocks = samples(spark, d).select((F.col("vec_id") % 10).cast("string").alias("device_id"), F.col("vec_id").alias("seq"), F.lit(0.9) - (F.col("vec_id") % 7) / 10, F.col("s").alias("samples"))
-    return cache.fold(blocks.toDF("device_id", "seq", "quality", "samples"))
+    return incremental.fold(blocks.toDF("device_id", "seq", "quality", "samples"))
 
 
 def sampled_size(spark, d):
@@ -354,9 +356,13 @@ def sampled_size(spark, d):
 
 
 def secant_search(spark, d):
-    sizes = {r["level"]: r["size"] for r in _copies(spark, d, tuple((k, "DEVICE-001", v) for k, v in enumerate(range(0, 320, 4)))).groupBy("level").agg((31 + F.sum(10 + 3 * m.nonzeros(F.col("z")))).alias("size")).collect()}
-    size_at = lambda v: sizes[min(316, max(0, v) // 4 * 4)]
-    rows = [(t, *sizing.search_level(size_at, sizes[0], t)) for t in (sizes[0] * f // 10 for f in (9, 7, 5))]
+    @cache
+    def size_at(level: int) -> int:
+        one = _copies(spark, d, ((0, "DEVICE-001", level),))
+        return one.agg((31 + F.sum(10 + 3 * m.nonzeros(F.col("z")))).alias("size")).first()["size"]
+
+    whole = size_at(0)
+    rows = [(t, *sizing.search_level(size_at, whole, t)) for t in (whole * f // 10 for f in (9, 7, 5))]
     return spark.createDataFrame(rows, "target long, level int, size long")
 
 
