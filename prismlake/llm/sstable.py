@@ -4,42 +4,41 @@ A shard file holds documents in ascending order of their key::
 
     block*  index  bloom  footer
 
-* key: the identifier as 8 big-endian bytes with the sign bit flipped (so bytes
-  sort as numbers), a null identifier as no bytes (first of all), then 4 bytes
-  that number repeated identifiers;
+* key: 1 and the identifier as 8 big-endian bytes with the sign bit flipped (so
+  bytes sort as numbers), or 0 for a null identifier, then the writing task and the
+  row's number among that task's rows of the identifier, 4 bytes each: no two rows
+  of a set of shards have the same key;
 * block: entries of (shared key bytes, further key bytes, value bytes) as varints,
   the further key bytes, the value; every 16th entry shares nothing (a restart);
   then the restarts' offsets and their number (32 bits each) and a CRC-32;
 * value: the ids, little-endian, ``width`` bytes each (2 where the vocabulary allows);
 * index: per block, its first key's length and key, offset, length, entries, ids;
-* bloom: a bit array over the keys, 10 bits a key and 7 probes;
+* bloom: a bit array over the identifiers, 10 bits a row and 7 probes;
 * footer: offsets, counts, width, format version, magic.
 
 Files are written to a name of the attempt and then renamed, so a repeated
-task leaves the same shard.  The tokenizer's words are memoised: the vocabulary's
-normaliser and splitter never look across white space.
+task leaves the same shard.
 
-Defined results for odd input: a null or empty text has only the end id; a null
-identifier sorts first; repeated identifiers are numbered in their order.  Extra
-columns play no part.  An empty table gives no shard and no rows.
+Defined results for odd input: a null or empty text has only the end id; null
+identifiers sort first; rows of null or repeated identifiers are told apart by the
+key's number and all found under their identifier.  A special token's string in a
+text gives that token, as the library does it.  Extra columns play no part.  An
+empty table gives no shard and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
-import sys
-import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,19 +46,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import filesystem, fresh_path, written
-from .textkernel import slices
+from .textkernel import slices, utf8
 
 MAGIC, VERSION = 0x50534C5353540001, 1
 FOOTER = struct.Struct("<QQQQQQQIIQ")
 RESTART = 16
 
 
-def key_bytes(doc_id: int | None, seq: int = 0) -> bytes:
-    return b"" if doc_id is None else struct.pack(">QI", doc_id + (1 << 63), seq)
+def key_bytes(doc_id: int | None, part: int = 0, seq: int = 0) -> bytes:
+    return id_bytes(doc_id) + struct.pack(">II", part, seq)
+
+
+def id_bytes(doc_id: int | None) -> bytes:
+    return b"\0" if doc_id is None else struct.pack(">BQ", 1, doc_id + (1 << 63))
 
 
 def key_id(key: bytes) -> int | None:
-    return struct.unpack_from(">Q", key)[0] - (1 << 63) if key else None
+    return struct.unpack_from(">Q", key, 1)[0] - (1 << 63) if key[0] else None
 
 
 def _varint(n: int) -> bytes:
@@ -82,10 +85,10 @@ def _read_varint(data, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int, k: int = 7) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h >> 64, h & (1 << 64) - 1 | 1
-    return [(a + i * b & (1 << 64) - 1) % bits for i in range(k)]
+def _probes(names: list[bytes], bits: int, k: int = 7) -> np.ndarray:
+    """Bits of the filter, ``k`` for each name."""
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), ">u8").reshape(-1, 2).astype(np.uint64)
+    return (h[:, :1] + np.arange(k, dtype=np.uint64) * (h[:, 1:] | np.uint64(1))) % np.uint64(bits)
 
 
 class ShardWriter:
@@ -94,7 +97,7 @@ class ShardWriter:
     def __init__(self, sink, width: int, block_bytes: int = 1 << 16):
         self.sink, self.width, self.block_bytes = sink, width, block_bytes
         self.offset = self.docs = self.ids = 0
-        self.index, self.keys = [], []
+        self.index, self.names = [], []
         self._fresh()
 
     def _fresh(self) -> None:
@@ -112,7 +115,9 @@ class ShardWriter:
         self.last = key
         self.entries += 1
         self.block_ids += len(value) // self.width
-        self.keys.append(key)
+        name = key[:-8]
+        if not self.names or self.names[-1] != name:
+            self.names.append(name)
         if len(self.block) >= self.block_bytes:
             self._flush()
 
@@ -131,11 +136,10 @@ class ShardWriter:
         self._flush()
         index = b"".join(struct.pack("<I", len(k)) + k + struct.pack("<QQQQ", *x) for k, *x in self.index)
         bits = max(64, 10 * self.docs)
-        bloom = bytearray(-(-bits // 8))
-        for key in self.keys:
-            for p in _probes(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
-        self.sink.write(index + bytes(bloom))
+        held = np.zeros(bits, dtype=np.uint8)
+        for a in range(0, len(self.names), 1 << 16):
+            held[_probes(self.names[a : a + (1 << 16)], bits)] = 1
+        self.sink.write(index + np.packbits(held, bitorder="little").tobytes())
         at = self.offset + len(index)
         self.sink.write(FOOTER.pack(self.offset, len(index), at, bits, self.docs, self.ids, len(self.index), self.width, VERSION, MAGIC))
         self.sink.close()
@@ -181,52 +185,85 @@ class ShardReader:
             at += further + length
             yield key, data[at - length : at]
 
-    def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits))
+    def may_hold(self, doc_id: int | None) -> bool:
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes([id_bytes(doc_id)], self.bits)[0].tolist())
 
-    def get(self, key: bytes) -> bytes | None:
-        """The value of a key: Bloom filter, then block index, then restarts."""
-        if not self.index or not self.may_hold(key):
-            return None
+    def find(self, doc_id: int | None) -> Iterator[bytes]:
+        """The values of all documents of an identifier: Bloom filter, then block index, then restarts, then a scan."""
+        name = id_bytes(doc_id)
+        if not self.index or not self.may_hold(doc_id):
+            return
         lo, hi = 0, len(self.index)
         while lo + 1 < hi:
             mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.index[mid][0] <= key else (lo, mid)
+            lo, hi = (mid, hi) if self.index[mid][0] < name else (lo, mid)
         data, restarts = self._block(lo)
         a, b = 0, len(restarts)
         while a + 1 < b:
             mid = (a + b) // 2
-            a, b = (mid, b) if next(self._entries(data, restarts[mid]))[0] <= key else (a, mid)
-        for k, v in self._entries(data, restarts[a]):
-            if k >= key:
-                return v if k == key else None
-        return None
+            a, b = (mid, b) if next(self._entries(data, restarts[mid]))[0] < name else (a, mid)
+        at = restarts[a]
+        while True:
+            for k, v in self._entries(data, at):
+                if k[:-8] == name:
+                    yield v
+                elif k > name:
+                    return
+            lo, at = lo + 1, 0
+            if lo == len(self.index):
+                return
+            data, _ = self._block(lo)
 
     def scan(self) -> Iterator[tuple[bytes, bytes]]:
         for i in range(len(self.index)):
             yield from self._entries(self._block(i)[0], 0)
 
 
-#: Characters that split words for the vocabulary's normaliser (Unicode White_Space).
-_GAPS = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Controls that Python splits at and the normaliser doesn't.
-_NOT_GAPS = re.compile("[\x1c-\x1f]")
-
-#: The file's splitter.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Words of Latin letters, digits and visible signs: cut and lower-cased here as the file does it.
-_LATIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
+#: What a tokenizer file must say for its texts to be cut here; any other goes through the library text by text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+#: Kinds of bytes in words of visible ASCII and two-byte Latin-1 letters: letters, single digits, signs; 0 sends the word to the library.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[[ord("'"), 0x97, 0xB7]] = 0  # contractions, and the multiplication and division signs
+#: Lower case of those letters' bytes.
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_LOW[0x80:0x9F] += 32
 #: How the byte-level model writes a byte: visible Latin-1 as it is, the rest from U+0100 on in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
+def _expand(flat: np.ndarray, at: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``index`` of a ragged array one after the other, and their offsets."""
+    n = at[index + 1] - at[index]
+    out = np.zeros(len(index) + 1, dtype=np.int64)
+    np.cumsum(n, out=out[1:])
+    return flat[np.repeat(at[index] - out[:-1], n) + np.arange(out[-1])], out
+
+
+def _offsets(lengths) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int64)
+
+
 class WordTokenizer:
-    """A word-level tokenizer file of the tokenizers library with bounded memos of words and of their pieces.
+    """A word-level tokenizer file of the tokenizers library, encoding columns of texts.
 
-    Latin words are composed, lower-cased and cut as the file says, so that words
-    that differ in case or punctuation share pieces, and the library's model merges
-    each new piece; every other word goes through the library whole.
+    Where the file's normaliser and splitter never look across white space, a column's
+    different words are encoded once: those of visible ASCII and Latin-1 letters are
+    lower-cased and cut into pieces by array operations, and the library's model merges
+    each new piece; every other word, and any that holds a special token's string, goes
+    through the library whole.  Memos of pieces and words are bounded.
     """
 
     def __init__(self, path: str, memo: int = 600_000):
@@ -234,46 +271,85 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        wide = self.lib.get_vocab_size() > 1 << 16
-        self.width, self.code = (4, "I") if wide else (2, "H")
+        says = json.loads(self.lib.to_str())
+        self.added = [t["content"] for t in says["added_tokens"]]
+        self.by_word = (
+            says["normalizer"] == _NORMALIZER
+            and says["pre_tokenizer"] == _SPLITTER
+            and says["model"]["type"] == "BPE"
+            and not says["model"].get("dropout")
+            and not any(says[k] for k in ("truncation", "padding"))
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"] != "".join(t["content"].split()) for t in says["added_tokens"])
+        )
+        wide = max(self.lib.get_vocab(with_added_tokens=True).values(), default=0) >= 1 << 16
+        self.width, self.code, self.letter = (4, "<u4", "I") if wide else (2, "<u2", "H")
         self.most, self.words, self.pieces = memo, {}, {}
 
     def pack(self, ids: list[int]) -> bytes:
-        out = array(self.code, ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
-    def _merge(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_AS_CHAR)
+    def _merged(self, piece: bytes) -> bytes:
+        """A lower-case piece by the file's model."""
+        shown = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_AS_CHAR)
         return self.pack([t.id for t in self.lib.model.tokenize(shown)])
 
-    def _word(self, word: str) -> bytes:
-        if not _LATIN.fullmatch(word):
-            return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-        pieces, out = self.pieces, []
-        for p in _PIECE.findall(word.lower()):
-            ids = pieces.get(p)
-            if ids is None:
-                ids = pieces[p] = self._merge(p)
-            out.append(ids)
-        return b"".join(out)
-
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [(_GAPS.split(t) if _NOT_GAPS.search(t) else t.split()) if t else [] for t in texts]
-        every = set().union(*split)
-        new = {w for w in every if w not in self.words}
-        if len(self.words) + len(new) > self.most:
-            self.words.clear()
-            new = every
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        self.words.update({w: self._word(w) for w in new})
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+    def _whole(self, word: str) -> bytes:
+        return self.pack(self.lib.encode(word, add_special_tokens=False).ids)
+
+    def _known(self, units: list, memo: dict, make) -> list[bytes]:
+        """The units' ids from a memo that is emptied where new ones would overfill it."""
+        out = list(map(memo.get, units))
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(memo) + len(new) > self.most:
+            memo.clear()
+        for i in new:
+            out[i] = memo[units[i]] = make(units[i])
+        return out
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every word of an array of different words, one after the other, and their offsets."""
+        data, at = utf8(words)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        size = np.diff(at)
+        kind = _KIND[data]
+        odd = np.zeros(len(words), dtype=bool)
+        odd[np.searchsorted(at, np.flatnonzero(kind == 0), side="right") - 1] = True
+        for token in self.added:
+            odd |= pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        # Pieces of the other words: cut where the kind changes, at every digit and at word ends.
+        plain = np.repeat(~odd, size)
+        cut = np.ones(len(data), dtype=bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut[at[:-1][size > 0]] = True
+        start = np.flatnonzero(cut & plain)
+        low = _LOW[data[plain]]
+        edge = np.append(np.cumsum(plain)[start] - 1, len(low)) if len(start) else np.zeros(1, np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(low)]).dictionary_encode()
+        found = self._known(pieces.dictionary.to_pylist(), self.pieces, self._merged)
+        rest = self._known(words.filter(pa.array(odd)).to_pylist(), self.words, self._whole)
+        # A plain word is its pieces, any other one unit after all pieces.
+        n = np.where(odd, 1, np.bincount(np.searchsorted(at, start, side="right") - 1, minlength=len(words)))
+        first = np.concatenate([[0], np.cumsum(n)])
+        unit = np.empty(first[-1], dtype=np.int64)
+        is_odd = np.repeat(odd, n)
+        unit[is_odd] = len(found) + np.arange(len(rest))
+        unit[~is_odd] = pieces.indices.to_numpy(zero_copy_only=False)
+        each = found + rest
+        ids, ends = _expand(np.frombuffer(b"".join(each), self.code), _offsets(map(len, each)) // self.width, unit)
+        return ids, ends[first]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column one after the other, and the texts' offsets; null counts as empty."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        if not self.by_word:
+            each = [e.ids for e in self.lib.encode_batch(column.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], dtype=self.code), _offsets(map(len, each))
+        split = pc.ascii_split_whitespace(column)
+        texts = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        ids, at = self._encode_words(words.dictionary)
+        ids, at = _expand(ids, at, words.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        return ids, at[texts - texts[0]]
 
 
 @cache
@@ -297,7 +373,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
         store, folder = filesystem(path)
         part, coder = TaskContext.get().partitionId(), word_tokenizer(tokenizer)
         end = coder.pack([end_id])
-        out, writer, name, temp, last, seq = [], None, "", "", None, 0
+        out, writer, name, temp, last, seq = [], None, "", "", (), 0
 
         def close():
             writer.close()
@@ -306,16 +382,17 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
         for batch in batches:
             for piece in slices(batch, text):
-                keys = piece.column(key).to_pylist()
-                for k, value in zip(keys, coder.encode_texts(piece.column(text).to_pylist()), strict=True):
+                ids, at = coder.encode(piece.column(text))
+                values, at = memoryview(ids).cast("B"), (at * coder.width).tolist()
+                for i, k in enumerate(piece.column(key).to_pylist()):
                     if writer is None or writer.offset + len(writer.block) >= shard_bytes:
                         if writer is not None:
                             close()
                         name, temp = f"shard-{part:06d}-{len(out):04d}.sst", f".{uuid.uuid4().hex}"
                         writer = ShardWriter(store.open_output_stream(f"{folder}/{temp}"), coder.width)
-                    seq = seq + 1 if k == last and writer.docs + writer.entries else 0
+                    seq = seq + 1 if k == last else 0
                     last = k
-                    writer.add(key_bytes(k, seq), value + end)
+                    writer.add(key_bytes(k, part, seq), bytes(values[at[i] : at[i + 1]]) + end)
         if writer is not None:
             close()
             cols = list(zip(*out, strict=True))

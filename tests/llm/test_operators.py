@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -306,7 +308,6 @@ def test_mixing_permutation(spark):
 
 def test_token_shards(spark, docs, none):
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     path = fresh_path(spark, "test-shards")
     manifest, _ = written(sstable.write_shards(docs, path, P.path("word_bpe_49k.json"), shard_bytes=300), "manifest")
     assert manifest.count() > 1
@@ -322,23 +323,63 @@ def test_token_shards(spark, docs, none):
     assert sstable.read_shards(manifest, path + "-none").count() == 0
 
 
+def test_token_shards_null_and_repeated_ids(spark):
+    """Every row is found under its identifier, whichever file and task wrote it, and no key repeats."""
+    rows = [(None, f"null {k}") for k in range(40)] + [(7, f"seven {k % 9}") for k in range(90)] + [(k, f"own {k}") for k in range(-20, 60, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = fresh_path(spark, "test-shards")
+    manifest, _ = written(sstable.write_shards(table, path, P.path("word_bpe_49k.json"), shard_bytes=200), "manifest")
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = Counter((i, np.array([*lib.encode(t).ids, 1], "<u2").tobytes()) for i, t in rows)
+    keys, found = [], Counter()
+    for r in manifest.collect():
+        name = f"{path}/{r['shard']}"
+        with open(name, "rb") as f:
+            reader = sstable.ShardReader(f, os.path.getsize(name))
+            keys += [k for k, _ in reader.scan()]
+            found.update((i, v) for i in {i for i, _ in rows} for v in reader.find(i))
+    assert len(set(keys)) == len(keys) == len(rows) and found == want
+    back = sorted(sstable.read_shards(manifest, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in back] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+
+
+def test_word_tokenizer_fuzz():
+    from hypothesis import given, settings
+    from hypothesis import strategies as s
+
+    name = P.path("word_bpe_49k.json")
+    lib, coder, whole = Tokenizer.from_file(name), sstable.WordTokenizer(name, memo=60), sstable.WordTokenizer(P.path("byte_bpe_50k.json"))
+    assert coder.by_word and not whole.by_word  # another splitter: the library does it all
+    odd = list(" \n\t\r\x0b\x1c\x85\xa0\u1680\u2028\u3000abZ'Éß×÷ÅåŁİΣ1²!<|>🙂\u0301\u0308K\ufb01") + ["<|endoftext|>", "<|startoftext|>", "'s", "'LL"]
+
+    @settings(max_examples=200, deadline=None)
+    @given(s.lists(s.none() | s.lists(s.sampled_from(odd), max_size=14).map("".join) | s.text(alphabet=s.characters(blacklist_categories=("Cs",)), max_size=20), max_size=6))
+    def check(texts):
+        for c, own in ((coder, lib), (whole, whole.lib)):
+            ids, at = c.encode(pa.array(texts, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    check()
+
+
 def test_shard_file_lookup(tmp_path):
     from hypothesis import given, settings
     from hypothesis import strategies as s
 
     @settings(max_examples=40, deadline=None)
-    @given(s.dictionaries(s.integers(-(1 << 63), (1 << 63) - 1), s.binary(max_size=60).map(lambda b: b[: len(b) // 2 * 2]), max_size=80))
+    @given(s.dictionaries(s.none() | s.integers(-(1 << 63), (1 << 63) - 1), s.binary(max_size=60).map(lambda b: b[: len(b) // 2 * 2]), max_size=80))
     def check(table):
         name = tmp_path / "x.sst"
+        order = sorted(table, key=lambda k: (k is not None, k))
         writer = sstable.ShardWriter(open(name, "wb"), 2, block_bytes=200)
-        for k in sorted(table):
+        for k in order:
             writer.add(sstable.key_bytes(k), table[k])
         writer.close()
         with open(name, "rb") as f:
             reader = sstable.ShardReader(f, name.stat().st_size)
-            assert [(sstable.key_id(k), v) for k, v in reader.scan()] == sorted(table.items())
-            assert all(reader.get(sstable.key_bytes(k)) == v for k, v in table.items())
-            assert all(reader.get(sstable.key_bytes(k)) is None for k in (-5, 0, 12345) if k not in table)
+            assert [(sstable.key_id(k), v) for k, v in reader.scan()] == [(k, table[k]) for k in order]
+            assert all(list(reader.find(k)) == [table[k]] for k in table)
+            assert all(list(reader.find(k)) == [] for k in (None, -5, 0, 12345) if k not in table)
 
     check()
 
