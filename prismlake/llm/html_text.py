@@ -1,17 +1,27 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; parts that are never article text (scripts, styles, menus,
-page headers and footers, sidebars, notices, adverts, forms, reader comments) go
-by element, role or class name.  For every remaining node with C characters, T
-tags, LC link characters and LT link tags, the composite density is
+A page becomes a tree.  For every node with C characters, T tags, LC link
+characters and LT link tags, the composite density is
 
     C/T * log_b(C/LC * T/LT),   b = ln(C/(C - LC) * LC + LCb/Cb * C + e)
 
 (zeros in denominators count as 1; LCb and Cb are the body's).  The node with the
-largest sum of its children's densities is the core; where the page marks an
-article or a main part, the core is sought there and widened to all of it.
-Elsewhere the smallest density on the path from the core to the body is the
-threshold: what hangs off that path stays if it is at least as dense.
+largest sum of its children's densities is the core (among blocks, as inline elements
+are their block's text; a block without blocks inside has its own density) and is kept
+whole; the smallest
+density on the path from the core to the body is the threshold, and what hangs off
+that path stays if it is at least as dense.
+
+Parts that element, role or class name mark as furniture (menus, page headers and
+footers, sidebars, notices, adverts, forms, reader comments) take part in this: all
+their characters and tags count as link characters and tags, and in a part's own
+density its characters count twice so.  Its density is then below zero, that of
+anything else is not: the core is sought only in what is not below zero, and only
+that stays, inside the core too.  Nothing else is done about them.
+
+Two rules keep an article whole where its densest part alone is the core: headings
+on the path below the body stay, and so does, in an ancestor at least half as dense
+as the core, everything that has no link.
 
 Defined results for odd input: a null, empty or text-less page gives an empty
 text.  Unclosed and stray tags are taken as browsers do in the common cases
@@ -25,7 +35,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -44,8 +53,11 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul".split()
 )
-#: Elements that are never article text.
-DROP = frozenset("head script style title noscript template iframe object embed svg canvas audio video nav aside footer form button select textarea input label option datalist menu dialog search".split())
+#: Elements that are never shown as text.
+UNSEEN = frozenset("head script style title noscript template iframe object embed svg canvas audio video datalist".split())
+#: Elements that are furniture.
+FURNITURE = frozenset("nav aside footer form button select textarea input label option menu dialog search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Class and id words of parts that are not article text; the second tuple holds starts of words.
 WORDS = frozenset("ad ads adv adbox adslot adunit nav navbar navigation menu aside share sharing widget popup modal overlay gdpr toolbar pagination pager".split())
@@ -67,10 +79,10 @@ _P_STOPS = frozenset("table td th button object caption body html article sectio
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "kids", "furniture", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.kids, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: Node | None, furniture: bool = False):
+        self.tag, self.parent, self.kids, self.furniture = tag, parent, [], furniture
         self.density = 0.0
 
 
@@ -81,23 +93,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _dropped(tag: str, raw: str, in_article: bool) -> bool:
-    if tag in DROP or (tag == "header" and not in_article):
-        return True
+def _kind(tag: str, raw: str, in_article: bool) -> str:
+    """Whether an element is "unseen", "furniture" or neither ("")."""
+    if tag in UNSEEN:
+        return "unseen"
+    marked = tag in FURNITURE or (tag == "header" and not in_article)
     if "=" not in raw and "hidden" not in raw:
-        return False
+        return "furniture" if marked else ""
     at = _attributes(raw)
-    if "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in ROLES:
-        return True
+    if "hidden" in at or at.get("aria-hidden") == "true":
+        return "unseen"
+    if marked or at.get("role", "").lower() in ROLES:
+        return "furniture"
     if tag in ("body", "html", "article", "main"):
-        names = []
-    else:
-        names = _NAME.findall(f"{at.get('class', '')} {at.get('id', '')}".lower())
-    return any(n in WORDS or n.startswith(STARTS) or (not in_article and n in PAGE_WORDS) for n in names)
+        return ""
+    names = _NAME.findall(f"{at.get('class', '')} {at.get('id', '')}".lower())
+    return "furniture" if any(n in WORDS or n.startswith(STARTS) or (not in_article and n in PAGE_WORDS) for n in names) else ""
 
 
 def parse(html: str) -> Node:
-    """The page's tree; text is a kid of type str, and dropped parts are marked."""
+    """The page's tree without what is never shown; text is a kid of type str."""
     root = node = Node("#root", None)
     skip = ""
     articles = 0
@@ -138,48 +153,52 @@ def parse(html: str) -> Node:
         if tag in RAW:
             skip = "" if m[3].endswith("/") else tag
             continue
-        new = Node(tag, node, _dropped(tag, m[3], articles > 0))
-        node.kids.append(new)
+        kind = _kind(tag, m[3], articles > 0)
+        new = Node(tag, node, kind == "furniture")
+        if kind != "unseen":
+            node.kids.append(new)
         if tag not in VOID and not m[3].endswith("/"):
             node = new
             articles += tag == "article"
     return root
 
 
-def _kept(node: Node) -> Iterator[Node]:
-    return (k for k in node.kids if type(k) is Node and not k.drop)
-
-
 def _measure(root: Node) -> list[Node]:
-    """Sets the counts of every kept node; returns the nodes, parents first."""
+    """Sets the counts of every node; returns the nodes, parents first."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
-        stack += _kept(n)
+        stack += [k for k in n.kids if type(k) is Node]
     for n in reversed(order):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
         for k in n.kids:
             if type(k) is str:
-                n.chars += len(k) if " " not in k and "\n" not in k else len("".join(k.split()))
-            elif not k.drop:
+                n.chars += _length(k)
+            else:
                 n.chars += k.chars
                 n.tags += 1 + k.tags
                 n.link_chars += k.link_chars
-                n.link_tags += k.link_tags + (k.tag == "a")
-        if n.tag == "a":
+                n.link_tags += k.link_tags + (k.tag == "a" or k.furniture)
+        if n.tag == "a" or n.furniture:
             n.link_chars = n.chars
+        if n.furniture:
+            n.link_tags = n.tags
     return order
 
 
+def _length(text: str) -> int:
+    return len(text) if " " not in text and "\n" not in text else len("".join(text.split()))
+
+
 def _density(n: Node, body: Node) -> float:
     if not n.chars:
         return 0.0
     c, t = n.chars, max(1, n.tags)
-    lc, lt = max(1, n.link_chars), max(1, n.link_tags)
+    lc, lt = max(1, n.link_chars * (2 if n.furniture else 1)), max(1, n.link_tags)
     base = math.log(c / max(1, c - n.link_chars) * n.link_chars + body.link_chars / max(1, body.chars) * c + math.e)
-    inside = c / lc * t / lt
-    return c / t * math.log(inside) / math.log(base) if base > 1 and inside > 0 else c / t * max(0.0, math.log(inside))
+    inside = math.log(c / lc * t / lt)
+    return c / t * inside / math.log(base) if base > 1 else c / t * inside
 
 
 class _Text:
@@ -195,24 +214,47 @@ class _Text:
                 self.blocks.append(text)
             self.now = []
 
-    def add(self, root: Node, wanted=None) -> None:
-        stack: list = [root]
+    def add(self, root: Node, wanted) -> None:
+        """Appends the wanted kids of ``root`` and below; ``wanted`` is asked for texts too."""
+        stack: list = [(root, None)]
         while stack:
-            n = stack.pop()
+            n, parent = stack.pop()
             if n is None:
                 self.cut()
+            elif parent is not None and not wanted(n, parent):
+                continue
             elif type(n) is str:
                 self.now.append(unescape(n))
             elif n.tag == "br":
                 self.now.append(" ")
-            elif not n.drop and (wanted is None or wanted(n)):
+            else:
                 if n.tag in BLOCK:
                     self.cut()
-                    stack.append(None)
+                    stack.append((None, None))
                 kids = n.kids
                 if n.tag == "header":  # of an article: its headings
-                    kids = [k for k in kids if type(k) is Node and k.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")]
-                stack += reversed(kids)
+                    kids = [k for k in kids if type(k) is Node and k.tag in HEADINGS]
+                stack += [(k, n) for k in reversed(kids)]
+
+
+def select(order: list[Node], body: Node) -> tuple[Node | None, list[Node], float]:
+    """The core, the path from it to the body, and the threshold."""
+    for n in order:
+        n.density = _density(n, body)
+    core, most, below = None, 0.0, set()
+    for n in order:
+        if n.parent in below or n.density < 0:
+            below.add(n)
+        elif n.chars and n.tag in BLOCK:
+            total = sum(max(0.0, k.density) for k in n.kids if type(k) is Node and k.tag in BLOCK) or n.density
+            if core is None or total > most:
+                core, most = n, total
+    if core is None and order[0].chars and not any(n.tag in BLOCK for n in order):
+        core = order[0]
+    path = [core] if core is not None else []
+    while path and path[-1].parent is not None and path[-1] is not body:
+        path.append(path[-1].parent)
+    return core, path, min((n.density for n in path), default=0.0)
 
 
 def extract(html: str | None) -> str:
@@ -222,41 +264,25 @@ def extract(html: str | None) -> str:
     root = parse(html)
     order = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
-    for n in order:
-        n.density = _density(n, body)
-    inside = set()
-    for n in order:
-        if n.tag in ("article", "main") or n.parent in inside:
-            inside.add(n)
-    core, most = None, 0.0
-    for n in order:
-        if n.chars and (n in inside or not any(x.chars for x in inside)):
-            total = sum(k.density for k in _kept(n)) or n.density
-            if core is None or total > most:
-                core, most = n, total
+    core, path, threshold = select(order, body)
     if core is None:
         return ""
-    out = _Text()
-    path = [core]
-    while path[-1].parent is not None and path[-1] is not body:
-        path.append(path[-1].parent)
-    marked = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
-    if marked is not None:
-        out.add(marked)
-    else:
-        threshold, on_path, under = min(n.density for n in path), set(path), set()
-
-        def wanted(n: Node) -> bool:
-            if n is core or n.parent in under:
-                under.add(n)
-                return True
-            if n in on_path or n.density >= threshold:
-                if n not in on_path:
-                    under.add(n)
-                return True
+    on_path = set(path) - {core}
+    dense = {n for n in on_path - {path[-1]} if 2 * n.density >= core.density}
+
+    def wanted(n: Node | str, parent: Node) -> bool:
+        if parent not in on_path:  # inside the core or a part that stays
+            return type(n) is str or n.density >= 0
+        if n is core or n in on_path:
+            return True
+        if type(n) is str:
+            return parent in dense or _length(n) >= max(1.0, threshold)
+        if n.density < 0 or not n.chars:
             return False
+        return n.density >= max(threshold, 1e-9) or (n.tag in HEADINGS and parent is not path[-1]) or (parent in dense and not n.link_chars)
 
-        out.add(path[-1], wanted)
+    out = _Text()
+    out.add(path[-1], wanted)
     out.cut()
     return "\n".join(out.blocks)
 

@@ -404,6 +404,82 @@ def test_html_extraction(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_density_decides(monkeypatch):
+    """Marked furniture goes by its density alone; with any constant density it would stay."""
+    assert "Reader: nice." not in html_text.extract(PAGE)
+    plain = "<body><div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><p>" + "Words of the text. " * 9 + "</p><p>" + "And more of them here. " * 6 + "</p></div></body>"
+    kept = html_text.extract(plain)
+    assert "Words" in kept and "Three" not in kept
+    for value in (0.0, 1.0):
+        monkeypatch.setattr(html_text, "_density", lambda n, body, v=value: v)
+        assert "Reader: nice." in html_text.extract(PAGE) and "Buy things" in html_text.extract(PAGE)
+    monkeypatch.setattr(html_text, "_density", lambda n, body: 1.0)
+    assert "Three" in html_text.extract(plain)
+
+
+def test_html_several_articles_and_parts():
+    p = lambda k, n=8: f"<p>{('Part %d has words. ' % k) * n}</p>"
+    many = "<body><nav><a href=1>menu</a></nav>" + "".join(f"<article><h2>T{k}</h2>{p(k)}{p(k)}</article>" for k in range(3)) + "</body>"
+    assert [f"T{k}" in html_text.extract(many) for k in range(3)] == [True] * 3
+    nested = "<body><ul><li><a href=1>menu</a><li><a href=2>menu</a></ul><div><h1>Head</h1><p>Yes.</p><section>" + p(1) * 6 + "</section><section>" + p(2) + "</section></div></body>"
+    assert html_text.extract(nested).split("\n")[:2] == ["Head", "Yes."] and "Part 2" in html_text.extract(nested) and "menu" not in html_text.extract(nested)
+
+
+def test_html_composite_density_brute_force():
+    """Densities, core and threshold against a plain recursive reading of the formula on random trees."""
+    rng = np.random.default_rng(8)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.25:
+            return "x" * int(rng.integers(0, 30))
+        tag = str(rng.choice(["div", "p", "a", "b", "section", "nav"]))
+        if tag in ("p", "a"):
+            depth = 1  # they close when nested
+        return f"<{tag}>" + " ".join(grow(depth - 1) for _ in range(int(rng.integers(1, 4)))) + f"</{tag}>"
+
+    def count(n):
+        """(chars, tags, link chars, link tags) of a node."""
+        c = t = lc = lt = 0
+        for k in n.kids:
+            if isinstance(k, str):
+                c += len("".join(k.split()))
+            else:
+                x = count(k)
+                c, t, lc, lt = c + x[0], t + 1 + x[1], lc + x[2], lt + x[3] + (k.tag in ("a", "nav"))
+        return c, t, c if n.tag in ("a", "nav") else lc, t if n.tag == "nav" else lt
+
+    def density(n, body):
+        c, t, lc, lt = count(n)
+        if not c:
+            return 0.0
+        bc, _, blc, _ = count(body)
+        base = math.log(c / max(1, c - lc) * lc + blc / max(1, bc) * c + math.e)
+        if n.tag == "nav":
+            lc *= 2
+        return c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / (math.log(base) if base > 1 else 1)
+
+    for _ in range(150):
+        root = html_text.parse("<body>" + "".join(grow(4) for _ in range(4)) + "</body>")
+        order = html_text._measure(root)
+        body = next(n for n in order if n.tag == "body")
+        core, path, threshold = html_text.select(order, body)
+        for n in order:
+            assert math.isclose(n.density, density(n, body), rel_tol=1e-9, abs_tol=1e-12)
+
+        def inside_furniture(n):
+            return n is not None and (n.density < 0 or inside_furniture(n.parent))
+
+        sums = {}
+        for n in order:
+            if count(n)[0] and n.tag in html_text.BLOCK and not inside_furniture(n):
+                sums[n] = sum(max(0.0, density(k, body)) for k in n.kids if not isinstance(k, str) and k.tag in html_text.BLOCK) or density(n, body)
+        if core is None:
+            assert not sums
+        elif sums:
+            assert math.isclose(sums.get(core, 0.0), max(sums.values()), rel_tol=1e-9, abs_tol=1e-12)
+            assert threshold == min(n.density for n in path) and path[0] is core and path[-1] is body
+
+
 def test_html_without_article_marks():
     page = "<body><div class=menu><a href=1>One</a><a href=2>Two</a></div><div><h2>Head</h2><p>" + "Some words of the text. " * 8 + "</p><p>" + "And more of them here. " * 6 + "</p></div><div><a href=3>a</a> <a href=4>b</a></div></body>"
     assert html_text.extract(page).split("\n") == ["Head", ("Some words of the text. " * 8).strip(), ("And more of them here. " * 6).strip()]
