@@ -9,8 +9,11 @@ for each.
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,8 +89,10 @@ def decode(data: bytes) -> dict:
 
 
 def file_name(device: Column, level: Column, at: Column) -> Column:
-    """Identifier, level and time as a file name."""
-    return F.concat(device, F.lit("_L"), level.cast("string"), F.lit("_"), F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss"), F.lit(".nsl"))
+    """Identifier, level and time (UTC, whatever the session's zone) as a file name."""
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(at))
+    stamp = F.translate(utc.cast("string"), " :", "T-")
+    return F.concat(device, F.lit("_L"), level.cast("string"), F.lit("_"), stamp, F.lit(".nsl"))
 
 
 def gathered(compressed: DataFrame) -> DataFrame:
@@ -147,7 +152,10 @@ def same_size(files: DataFrame) -> DataFrame:
 
 
 class CoefficientFiles(DataSource):
-    """Data source ``nsl``: reads a folder's files, writes a file a row (columns of ``SCHEMA``)."""
+    """Data source ``nsl``: reads a folder's files, writes a file a row (columns of ``SCHEMA``).
+
+    Read options: ``batchBytes``, the bytes of files that one task reads (64 MB).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -157,47 +165,92 @@ class CoefficientFiles(DataSource):
         return f"path string, {SCHEMA}"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("batchbytes", self.options.get("batchBytes", 64 << 20))))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
+
+
+def _store(path: str):
+    """The file system and the folder; a plain path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, batch: int):
+        self.path, self.batch = path, batch
 
     def partitions(self):
         from pyarrow import fs
 
-        store, inside = fs.FileSystem.from_uri(self.path)
-        return [InputPartition(f.path) for f in store.get_file_info(fs.FileSelector(inside)) if f.path.endswith(".nsl")]
+        store, inside = _store(self.path)
+        held, size, out = [], 0, []
+        for f in sorted(store.get_file_info(fs.FileSelector(inside)), key=lambda f: f.path):
+            if not f.path.endswith(".nsl"):
+                continue
+            if held and size + f.size > self.batch:
+                out.append(_Files(held))
+                held, size = [], 0
+            held.append(f.path)
+            size += f.size
+        return [*out, _Files(held)]
 
     def read(self, partition):
-        from pyarrow import fs
+        store, _ = _store(self.path)
+        for path in partition.paths:
+            with store.open_input_stream(path) as f:
+                row = decode(f.read())
+            blocks = [(b["px"], b["py"], b["y"], b["cb"], b["cr"]) for b in row["blocks"]]
+            yield (path, row["device_id"], row["width"], row["height"], row["level"], blocks)
+
 
-        store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(partition.value) as f:
-            row = decode(f.read())
-        blocks = [(b["px"], b["py"], b["y"], b["cb"], b["cr"]) for b in row["blocks"]]
-        yield (partition.value, row["device_id"], row["width"], row["height"], row["level"], blocks)
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Tasks write to a folder of the job; committing moves the files of the attempts that count, and only those."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.staging = path, overwrite, f"_staging-{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, inside = fs.FileSystem.from_uri(self.path)
-        store.create_dir(inside, recursive=True)
-        part = TaskContext.get().partitionId()
+        store, inside = _store(self.path)
+        store.create_dir(f"{inside}/{self.staging}", recursive=True)
+        part, attempt, names = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], []
         for i, r in enumerate(rows):
-            data = encode(r["device_id"], r["width"], r["height"], r["level"], [b.asDict() for b in r["blocks"]])
-            name = f"{inside}/{part:05d}-{i:05d}_L{r['level']}.nsl"
-            with store.open_output_stream(name + ".part") as f:
-                f.write(data)
-            store.move(name + ".part", name)
-        return WriterCommitMessage()
+            names.append(f"{part:05d}-{i:05d}-{attempt}_L{r['level']}.nsl")
+            with store.open_output_stream(f"{inside}/{self.staging}/{names[-1]}") as f:
+                f.write(encode(r["device_id"], r["width"], r["height"], r["level"], [b.asDict() for b in r["blocks"]]))
+        return _Written(names)
+
+    def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        store, inside = _store(self.path)
+        store.create_dir(inside, recursive=True)
+        old = [f.path for f in store.get_file_info(fs.FileSelector(inside)) if f.path.endswith(".nsl")] if self.overwrite else []
+        for m in messages:
+            for name in m.names if m else ():
+                store.move(f"{inside}/{self.staging}/{name}", f"{inside}/{name}")
+        for path in old:
+            store.delete_file(path)
+        self._clear(store, inside)
+
+    def abort(self, messages) -> None:
+        self._clear(*_store(self.path))
+
+    def _clear(self, store, inside: str) -> None:
+        if store.get_file_info(f"{inside}/{self.staging}").type.name == "Directory":
+            store.delete_dir(f"{inside}/{self.staging}")
