@@ -98,6 +98,11 @@ def heat_class(value: Column) -> Column:
     return F.when(value == 1, "low").when(value < 20, "medium").otherwise("high")
 
 
+def print_class(value: Column) -> Column:
+    """The four classes in which a matrix is printed."""
+    return F.when(value == 1, "one").when(value < 10, "low").when(value < 20, "medium").otherwise("high")
+
+
 def difference_byte(a: Column, b: Column) -> Column:
     """Difference made visible: five times, 255 at most."""
     return F.least(F.lit(255), 5 * F.abs(a - b))

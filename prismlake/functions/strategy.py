@@ -79,7 +79,9 @@ def quantizer_matrix(order: Column, level: Column) -> Column:
     """The 64 quantizers, row by row, of an order at a level."""
     steps = F.greatest(level, F.lit(0))
     started = F.slice(order, F.lit(1), F.pmod(steps, F.lit(64)).cast("int"))
-    return F.transform(int_array(INCREMENTS), lambda inc, p: F.least(F.lit(255), 1 + inc * (F.floor(steps / 64) + F.when(F.array_contains(started, p), 1).otherwise(0))).cast("int"))
+    raised = lambda inc, p, s: F.least(F.lit(255), 1 + inc * (F.floor(steps / 64) + F.when(F.array_contains(s, p), 1).otherwise(0))).cast("int")
+    # One level of nesting gives the order one evaluation for all positions.
+    return F.get(F.transform(F.array(started), lambda s: F.transform(int_array(INCREMENTS), lambda inc, p: raised(inc, p, s))), F.lit(0))
 
 
 def frequency_mask(device: Column) -> Column:
@@ -134,3 +136,8 @@ def dct_strategy(device: Column) -> Column:
         digest(device).alias("strategy_hash"), frequency_mask(device).alias("frequency_mask"), luminance_matrix(device).alias("quant"),
         channel_weights(device).alias("weights"), spatial_pattern(device).alias("spatial_pattern"),
     )
+
+
+def qdct_strategy(device: Column) -> Column:
+    """Identifier, order and the nominal increase (a fixed value) in one struct."""
+    return F.struct(device.alias("device_id"), quantization_order(device).alias("quantization_order"), F.lit(0.1).alias("quantization_increase"))

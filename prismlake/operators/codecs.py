@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from ..functions import codec_math as m
 from ..functions import strategy as st
 from ..functions.rounding import round_half_up, store_byte, to_byte
+from ..functions.tables import UNZIGZAG, int_array
 from .blocks import CHANNELS, dct, haar, inverse_dct, inverse_haar, to_blocks, to_gray, to_pixels, unzigzag, zigzag
 
 COPY = ["image_id", "device_ord", "device_id"]
@@ -50,6 +51,12 @@ def _dequantized(line: Column, matrix: Column) -> Column:
     return F.zip_with(unzigzag(line), matrix, lambda c, q: (c * q).cast("double"))
 
 
+def best_copy(copies: Column, names: tuple[str, ...]) -> Column:
+    """Of copies (device_ord, q and arrays ``names``), at each of 64 positions q, device_ord and the values of the one with the smallest q."""
+    at = lambda p: F.array_min(F.transform(copies, lambda c: F.struct(F.get(c["q"], p).alias("q"), c["device_ord"].alias("device_ord"), *[F.get(c[n], p).alias(n) for n in names])))
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), at)
+
+
 class ProgressiveDct:
     """Every device raises its own order of quantizers, level by level."""
 
@@ -75,13 +82,16 @@ class ProgressiveDct:
         return to_pixels(inverse_dct(rows))
 
     def merged(self, compressed: DataFrame) -> DataFrame:
-        """Blocks of the best copy of every coefficient: the smallest quantizer, then the smaller device number."""
+        """Blocks of the best copy of every coefficient: the smallest quantizer, then the smaller device number.
+
+        The copies of a block, as many as there are devices, meet in one row.
+        """
         first = compressed.groupBy("image_id").agg(F.min_by(F.struct("width", "height"), "device_ord").alias("s"))
         rows = self._matrices(compressed.dropDuplicates([*COPY, "px", "py"]))
-        rows = rows.select("image_id", "px", "py", "device_ord", F.posexplode(F.arrays_zip("q", *[_dequantized(F.col(c), F.col("q")).alias(c) for c in CHANNELS])).alias("p", "v"))
-        best = rows.groupBy("image_id", "px", "py", "p").agg(F.min(F.struct("v.q", "device_ord", *[f"v.{c}" for c in CHANNELS])).alias("b"))
-        lines = best.groupBy("image_id", "px", "py").agg(F.sort_array(F.collect_list(F.struct("p", "b"))).alias("l"))
-        line = lambda c: F.transform("l", lambda t: t["b"][c]).alias(c)
+        copy = F.struct("device_ord", "q", *[_dequantized(F.col(c), F.col("q")).alias(c) for c in CHANNELS])
+        met = rows.groupBy("image_id", "px", "py").agg(F.collect_list(copy).alias("copies"))
+        lines = met.select("image_id", "px", "py", best_copy(F.col("copies"), CHANNELS).alias("l"))
+        line = lambda c: F.transform("l", lambda t: t[c]).alias(c)
         return lines.join(first, "image_id").select("image_id", "s.width", "s.height", "px", "py", *map(line, CHANNELS))
 
     def reconstruct(self, compressed: DataFrame) -> DataFrame:
@@ -135,8 +145,8 @@ class MaskedDct:
     def reconstruct(self, compressed: DataFrame) -> DataFrame:
         """Mean of all copies' pixels if their qualities span 0.1 or less, else of those within 0.05 of the best."""
         ends = compressed.groupBy("image_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
-        near = self.decompress(compressed).join(ends, "image_id").filter("hi - lo <= 0.1 OR quality >= hi - 0.05")
-        return near.groupBy("image_id", "x", "y").agg(*[round_half_up(F.avg(c)).cast("int").alias(c) for c in "rgb"])
+        near = compressed.join(ends, "image_id").filter("hi - lo <= 0.1 OR quality >= hi - 0.05").drop("lo", "hi")
+        return self.decompress(near).groupBy("image_id", "x", "y").agg(*[round_half_up(F.avg(c)).cast("int").alias(c) for c in "rgb"])
 
     def reconstruct_frequencies(self, compressed: DataFrame) -> DataFrame:
         """Per coefficient, the nonzero value of the copy with the highest quality (then the smaller number),
@@ -152,6 +162,18 @@ class MaskedDct:
         full = lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at(c, i), F.lit(0)))
         return to_pixels(inverse_dct(grid.select("image_id", "width", "height", "px", "py", *[_dequantized(full(F.col(c)), F.col("q")).alias(c) for c in CHANNELS])))
 
+    def reconstruct_masked_mean(self, compressed: DataFrame) -> DataFrame:
+        """Per coefficient, the mean of the dequantized nonzero values that the copies' masks keep; 0 where none has one."""
+        rows = self._matrices(compressed).withColumn("kept", st.frequency_mask(F.col("device_id")))
+        value = lambda c: F.zip_with(unzigzag(F.col(c)), "q", lambda v, q: (v * q).cast("double"))
+        shown = F.transform(int_array(UNZIGZAG), lambda z: F.get("kept", z))
+        masked = lambda c: F.zip_with(value(c), shown, lambda v, k: F.when(k & (v != 0), v)).alias(c)
+        met = rows.groupBy("image_id", "width", "height", "px", "py").agg(*[F.collect_list(masked(c)).alias(c) for c in CHANNELS])
+        total = lambda c, p: F.aggregate(c, F.lit(0.0), lambda t, x: t + F.coalesce(F.get(x, p), F.lit(0.0)))
+        many = lambda c, p: F.size(F.filter(c, lambda x: F.get(x, p).isNotNull()))
+        mean = lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.when(many(F.col(c), p) > 0, total(F.col(c), p) / many(F.col(c), p)).otherwise(0.0)).alias(c)
+        return to_pixels(inverse_dct(met.select("image_id", "width", "height", "px", "py", *map(mean, CHANNELS))))
+
     def sizes(self, compressed: DataFrame) -> DataFrame:
         """Fixed shares of the raw size at high quality, else 100 bytes and the coefficients' model."""
         raw = F.max("width") * F.max("height") * 3
@@ -279,8 +301,15 @@ class CodecManager:
             raise ValueError("no compressed versions were given")
         return self.codec.reconstruct(compressed)
 
+    def preview(self, compressed: DataFrame, most: int = 50_000) -> DataFrame:
+        """Pixels of every copy; of a copy with more than ``most`` blocks one empty pixel."""
+        blocks = compressed.groupBy(*COPY).agg(F.count("*").alias("__n"))
+        large = blocks.filter(F.col("__n") > most)
+        shown = self.codec.decompress(compressed.join(large.drop("__n"), COPY, "left_anti")).select(*COPY, "x", "y", *"rgb")
+        return shown.unionByName(large.select(*COPY, *[F.lit(0).cast("long").alias(c) for c in "xy"], *[F.lit(0).alias(c) for c in "rgb"]))
+
     def strategy(self, devices: DataFrame) -> DataFrame | None:
         """The devices' strategies, or None where the codec has none."""
         if self.current == "qdct":
-            return devices.withColumn("strategy", F.struct(st.quantization_order(F.col("device_id")).alias("quantization_order")))
+            return devices.withColumn("strategy", st.qdct_strategy(F.col("device_id")))
         return devices.withColumn("strategy", st.dct_strategy(F.col("device_id"))) if self.current == "dct" else None

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import codec_math as m
 from ..functions import strategy as st
-from ..functions.tables import INCREMENTS, band, int_array
+from ..functions.tables import INCREMENTS, band, int_array, positions
 
 
 def psnr(original: DataFrame, decoded: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -74,6 +75,30 @@ def mask_coverage(devices: DataFrame) -> DataFrame:
     return devices.select(F.posexplode(st.frequency_mask(F.col("device_id"))).alias("position", "kept")).groupBy("position").agg(F.count_if("kept").alias("devices"))
 
 
+def mask_coverage_summary(devices: DataFrame) -> DataFrame:
+    """One row: positions that some device keeps, and the mean, least and greatest number of devices a position."""
+    return mask_coverage(devices).agg(F.count_if(F.col("devices") > 0).alias("covered"), F.avg("devices").alias("average"), F.min("devices").alias("least"), F.max("devices").alias("most"))
+
+
+def increment_statistics(spark: SparkSession) -> DataFrame:
+    """Mean, least and greatest of the steps by which quantizers grow."""
+    return positions(spark).agg(F.avg("inc").alias("average"), F.min("inc").alias("least"), F.max("inc").alias("most"))
+
+
+def walk_through(devices: DataFrame, first: int = 20, later: int = 40) -> DataFrame:
+    """Per device, the mean step of the first ``first`` coefficients and the mean quantizers at the two levels."""
+    mat = matrices(devices, [first, later])
+    mean = lambda level: F.avg(F.when(F.col("level") == level, F.col("value")))
+    step = F.avg(F.when((F.col("level") == first) & (F.col("order_index") < first), F.col("increment")))
+    return mat.groupBy("device_id").agg(step.alias("avg_increment"), mean(first).alias("avg_first"), mean(later).alias("avg_later"))
+
+
+def leading_rows(mat: DataFrame, most: int = 32) -> DataFrame:
+    """The first ``most`` rows of each device and level in the device's order."""
+    by = Window.partitionBy("device_id", "level").orderBy("order_index")
+    return mat.withColumn("__r", F.row_number().over(by)).filter(F.col("__r") <= most).drop("__r")
+
+
 def matrix_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two matrices (pos, value): positions where the first is larger, smaller, equal, and different."""
     j = a.select("pos", F.col("value").alias("va")).join(b.select("pos", F.col("value").alias("vb")), "pos")

@@ -16,13 +16,18 @@ from ..functions import rounding as rd
 from ..functions import strategy as st
 from ..operators import blocks as bl
 from ..operators import codecs, metrics, sizing
-from ..sources import coefficient_file, synth
+from ..sources import coefficient_file, reports, synth
 from ..streaming import cache as incremental
 
 #: (number, identifier, level) of the copies that the merge queries make.
 COPIES = ((0, "DEVICE-001", 6), (1, "DEVICE-002", 32), (2, "DEVICE-003", 50))
 QUALITIES = (0.3, 0.5, 0.7)
-SWEEP = (0, 8, 16, 32, 64, 128, 256)
+# The levels of a sweep.
+SWEEP = (0, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 70, 80, 90, 100, 120, 150, 200)
+#: The searches look at every level up to this one.
+MOST = 1000
+#: Qualities of the masked codec's copies: one for each step of its ladder, then those that are merged.
+MASKED = ((0, "DEVICE-001", 0.96), (1, "DEVICE-002", 0.88), (2, "DEVICE-003", 0.78), (3, "DEVICE-001", 0.7), (4, "DEVICE-002", 0.66), (5, "DEVICE-003", 0.3))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -109,8 +114,8 @@ def coefficients(spark, d) -> DataFrame:
 
 
 def block_dct(spark, d):
-    rows = samples(spark, d).select("vec_id", F.posexplode("s").alias("pos", "v"))
-    return bl.dct_by_join(rows, ["vec_id"]).select("vec_id", "k", r6("c").alias("c"))
+    coded = bl.dct(samples(spark, d).select("vec_id", "s"), ("s",))
+    return coded.select("vec_id", F.posexplode("s").alias("k", "c")).select("vec_id", "k", r6("c").alias("c"))
 
 
 def block_idct_roundtrip(spark, d):
@@ -150,22 +155,24 @@ def dct_size(spark, d):
 
 
 def _merged(spark, d) -> DataFrame:
-    rows = _copies(spark, d).select("vec_id", "label", "s", "device_ord", F.posexplode(F.arrays_zip("q", "z")).alias("pos", "v"))
-    best = rows.groupBy("vec_id", "pos").agg(F.min(F.struct("v.q", "device_ord", "v.z")).alias("b"))
-    return best.select("vec_id", "pos", F.col("b.device_ord").alias("device_ord"), (F.col("b.q") * F.col("b.z")).cast("double").alias("value"))
+    """vec_id, label, s and the best copy of each position (q, device_ord, z); a vector's copies meet in one row."""
+    copies = F.collect_list(F.struct("device_ord", "q", "z"))
+    met = _copies(spark, d).groupBy("vec_id").agg(F.first("label").alias("label"), F.first("s").alias("s"), copies.alias("copies"))
+    return met.select("vec_id", "label", "s", codecs.best_copy(F.col("copies"), ("z",)).alias("best"))
 
 
 def qdct_reconstruct(spark, d):
-    return _merged(spark, d).withColumn("value", F.col("value").cast("long"))
+    best = _merged(spark, d).select("vec_id", F.posexplode("best").alias("pos", "b"))
+    return best.select("vec_id", "pos", "b.device_ord", (F.col("b.q") * F.col("b.z")).cast("long").alias("value"))
 
 
 def psnr_by_label(spark, d):
-    line = lambda: F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda t: t["value"])
-    merged = _merged(spark, d).groupBy("vec_id").agg(line().alias("c")).withColumn("copy", F.lit("merged"))
-    single = _copies(spark, d).select("vec_id", F.zip_with("z", "q", lambda z, q: (z * q).cast("double")).alias("c"), F.col("device_id").alias("copy"))
+    value = F.transform("best", lambda t: (t["q"] * t["z"]).cast("double")).alias("c")
+    merged = _merged(spark, d).select("label", "s", value, F.lit("merged").alias("copy"))
+    single = _copies(spark, d).select("label", "s", F.zip_with("z", "q", lambda z, q: (z * q).cast("double")).alias("c"), F.col("device_id").alias("copy"))
     decoded = bl.inverse_dct(single.unionByName(merged), ("c",), ("b",))
     error = F.aggregate(F.zip_with("s", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-    rows = decoded.join(samples(spark, d), "vec_id").groupBy("label", "copy").agg((F.sum(error) / (64 * F.count("*"))).alias("mse"))
+    rows = decoded.groupBy("label", "copy").agg((F.sum(error) / (64 * F.count("*"))).alias("mse"))
     return rows.select("label", "copy", F.round("mse", 5).alias("mse"), F.round(m.psnr(F.col("mse")), 4).alias("psnr"))
 
 
@@ -176,14 +183,6 @@ def dct_freq_reconstruct(spark, d):
     return top.select("vec_id", "pos", (-F.col("t.o")).alias("device_ord"), F.col("t.z").alias("value"))
 
 
-def dct_reconstruct(spark, d):
-    """Mean of dequantized coefficients over the copies near the best quality."""
-    rows = _copies(spark, d).select("vec_id", m.quality_of_level(F.col("level")).alias("quality"), F.posexplode(F.zip_with("z", "q", lambda z, q: z * q)).alias("pos", "v"))
-    ends = rows.groupBy("vec_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
-    near = rows.join(ends, "vec_id").filter("hi - lo <= 0.1 OR quality >= hi - 0.45")
-    return near.groupBy("vec_id", "pos").agg(r6(F.avg("v")).alias("value"))
-
-
 # Haar
 
 
@@ -282,14 +281,14 @@ def image_psnr(spark, d):
 
 
 def _sweep(spark, d) -> DataFrame:
-    """Sizes of each label's blocks as one image, by level: label, level, size, ratio."""
+    """Sizes of each label's blocks as one image, by level: label, level, size, ratio, blocks."""
     rows = _copies(spark, d, tuple((k, "DEVICE-001", v) for k, v in enumerate(SWEEP)))
-    out = rows.groupBy("label", "level").agg((31 + F.sum(10 + 3 * m.nonzeros(F.col("z")))).alias("size"), (F.count("*") * 64 * 3).alias("raw"))
-    return out.select("label", "level", "size", (F.col("raw") / F.col("size")).alias("ratio"))
+    out = rows.groupBy("label", "level").agg((31 + F.sum(10 + 3 * m.nonzeros(F.col("z")))).alias("size"), F.count("*").alias("blocks"))
+    return out.withColumn("ratio", F.col("blocks") * 64 * 3 / F.col("size"))
 
 
 def level_sweep(spark, d):
-    return _sweep(spark, d).withColumn("ratio", r6("ratio"))
+    return _sweep(spark, d).select("label", "level", "size", r6("ratio").alias("ratio"))
 
 
 def ratio_by_level(spark, d):
@@ -300,12 +299,42 @@ def min_size_max_ratio(spark, d):
     return metrics.extremes(_sweep(spark, d), "label").withColumn("max_ratio", r6("max_ratio"))
 
 
+def rate_table(spark, d):
+    """Kilobytes, ratio and bits a pixel; a label's blocks lie side by side."""
+    rate = metrics.rate(F.col("size"), F.col("blocks") * 8, F.lit(8))
+    return _sweep(spark, d).select("label", "level", *[r6(c).alias(n) for n, c in rate.items()])
+
+
+def _all_levels(spark, d) -> DataFrame:
+    return sizing.all_levels(coefficients(spark, d).select("label", "c"), "DEVICE-001", st.quantization_order(F.lit("DEVICE-001")), MOST, "label")
+
+
+def all_level_sizes(spark, d):
+    return _all_levels(spark, d).select("label", "level", "size")
+
+
 def size_target_setbased(spark, d):
-    return sizing.smallest_level(_sweep(spark, d), 5500, "label")
+    return sizing.smallest_level(_all_levels(spark, d), 5500, "label")
 
 
 def memory_limit_setbased(spark, d):
-    return sizing.largest_quality(_sweep(spark, d).withColumn("quality", r6(m.quality_of_level(F.col("level")))), 6000, "label")
+    return sizing.largest_quality(_all_levels(spark, d).withColumn("quality", r6(m.quality_of_level(F.col("level")))), 6000, "label")
+
+
+def level_search(spark, d):
+    """Level by level search of the smallest level within shares of the size at level 0, for all blocks as one image."""
+    every = coefficients(spark, d).select("c").persist()
+
+    @cache
+    def size_at(level: int) -> int:
+        q = st.quantizer_matrix(st.quantization_order(F.lit("DEVICE-001")), F.lit(level))
+        n = m.nonzeros(F.zip_with("c", "q", m.quantize))
+        return every.join(F.broadcast(spark.range(1).select(q.alias("q")))).agg((31 + F.sum(10 + 3 * n)).alias("size")).first()["size"]
+
+    whole = size_at(0)
+    rows = [(t, *sizing.search_level(size_at, whole, t, MOST)) for t in (whole * f // 10 for f in (9, 7, 5))]
+    every.unpersist()
+    return spark.createDataFrame(rows, "target long, level int, size long")
 
 
 def level_estimate(spark, d):
@@ -313,35 +342,125 @@ def level_estimate(spark, d):
     return table(spark, d, "part").select("p_partkey", r6(m.level_of_ratio(ratio)).alias("level"), m.level_of_quality(F.least(F.lit(1.0), ratio / 100)).alias("quality_level"), rd.size_text(F.floor(F.col("p_retailprice") * 3000)).alias("size_text"))
 
 
-# Beyond SQL: files, state, sampling, step-by-step search
+# Whole codecs over pictures of the embeddings
 
 
-def _one_image(spark, d) -> tuple[DataFrame, DataFrame]:
-    px = synth.image(spark, "checker_gradient", 64, 64)
-    req = spark.createDataFrame([("checker_gradient", o, i, v) for o, i, v in COPIES], "image_id string, device_ord int, device_id string, level int")
-    return px, req
+def pictures(spark, d) -> DataFrame:
+    """Pixels of pictures of four vectors each, one below the other; the channels read a vector in three orders."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    byte = lambda i: rd.to_byte(F.get("embedding", i).cast("double") * 255 + 128)
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.struct(p.alias("p"), byte(p).alias("r"), byte(63 - p).alias("g"), byte((p * 5 + 3) % 64).alias("b")))
+    at = e.select((F.col("vec_id") - F.pmod("vec_id", F.lit(4))).alias("image_id"), F.pmod("vec_id", F.lit(4)).alias("k"), F.explode(pixel).alias("t"))
+    return at.select("image_id", (F.col("t.p") % 8).cast("long").alias("x"), (F.floor(F.col("t.p") / 8) + 8 * F.col("k")).cast("long").alias("y"), "t.r", "t.g", "t.b")
+
+
+def _asked(px: DataFrame, copies, column: str) -> DataFrame:
+    """Every picture asked for from every device."""
+    kind = "int" if column == "level" else "double"
+    each = px.sparkSession.createDataFrame(list(copies), f"device_ord int, device_id string, {column} {kind}")
+    return px.select("image_id").distinct().join(F.broadcast(each))  # as many rows as copies
+
+
+def _judged(px: DataFrame, codec: codecs.Codec, coded: DataFrame, merges: dict[str, DataFrame]) -> DataFrame:
+    """image_id, copy, size and mse of every copy, and of every merge (whose size is not known)."""
+    own = metrics.psnr(px, codec.decompress(coded), ["device_ord"]).join(codec.sizes(coded), ["image_id", "device_ord"])
+    out = own.select("image_id", F.col("device_ord").cast("string").alias("copy"), F.col("size").cast("double").alias("size"), r6("mse").alias("mse"))
+    for name, merged in merges.items():
+        out = out.unionByName(metrics.psnr(px, merged).select("image_id", F.lit(name).alias("copy"), F.lit(None).cast("double").alias("size"), r6("mse").alias("mse")))
+    return out
+
+
+def codec_progressive(spark, d):
+    px, codec = pictures(spark, d), codecs.CodecManager("qdct").codec
+    coded = codec.compress(px, _asked(px, [(0, "DEVICE-001", 0.9), (1, "DEVICE-002", 0.5), (2, "DEVICE-003", 0.2)], "quality")).persist()  # decoded, sized and merged
+    return _judged(px, codec, coded, {"merged": codec.reconstruct(coded)})
+
+
+def codec_masked(spark, d):
+    px, codec = pictures(spark, d), codecs.CodecManager("dct").codec
+    coded = codec.compress(px, _asked(px, MASKED, "quality")).persist()  # decoded, sized and merged
+    late = coded.filter("device_ord >= 3")
+    return _judged(px, codec, coded, {"merged": codec.reconstruct(late), "frequencies": codec.reconstruct_frequencies(late), "masked mean": codec.reconstruct_masked_mean(late)})
+
+
+def codec_wavelet(spark, d):
+    px, codec = pictures(spark, d), codecs.CodecManager("wavelet").codec
+    coded = codec.compress(px, _asked(px, [(k, i, 0.5) for k, i, _ in COPIES], "quality")).persist()  # decoded, sized and merged
+    return _judged(px, codec, coded, {"merged": codec.reconstruct(coded)})
+
+
+def codec_runs(spark, d):
+    px, codec = pictures(spark, d), codecs.CodecManager("rle").codec
+    coded = codec.compress(px, _asked(px, [(k, i, q) for (k, i, _), q in zip(COPIES, (0.95, 0.05, 0.02), strict=True)], "quality")).persist()  # decoded, sized and merged
+    return _judged(px, codec, coded, {"merged": codec.reconstruct(coded)})
 
 
 def nsl_roundtrip(spark, d):
-    px, req = _one_image(spark, d)
-    coded = codecs.ProgressiveDct().compress(px, req)
+    """Copies written as coefficient files and read back: bytes, nonzeros and a weighted sum of the coefficients."""
+    px = pictures(spark, d)
+    coded = codecs.ProgressiveDct().compress(px, _asked(px, COPIES, "level"))
     files = coefficient_file.to_bytes(coefficient_file.gathered(coded))
-    back = coefficient_file.from_bytes(files.select(F.col("device_id").alias("path"), "content"))
-    return coefficient_file.spread(back, F.lit("checker_gradient"), F.lit(0)).select("device_id", "level", "px", "py", F.xxhash64("y", "cb", "cr").alias("h"))
-
-
-def image_codecs(spark, d):
-    """Size and PSNR of every codec's merge of three devices on one picture."""
-    px, _ = _one_image(spark, d)
-    req = spark.createDataFrame([("checker_gradient", k, f"DEVICE-00{k + 1}", 0.6) for k in range(3)], "image_id string, device_ord int, device_id string, quality double")
-    out = None
-    for name in codecs.CodecManager().registry.names():
-        codec = codecs.CodecManager(name).codec
-        coded = codec.compress(px, req)
-        one = metrics.psnr(px, codec.reconstruct(coded)).join(codec.sizes(coded).groupBy("image_id").agg(F.sum("size").alias("size")), "image_id")
-        one = one.select(F.lit(name).alias("codec"), r6("psnr").alias("psnr"), F.col("size").cast("double").alias("size"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    named = files.select(F.concat_ws("/", "image_id", "device_ord").alias("path"), "content")
+    back = coefficient_file.from_bytes(named, strict=True).join(named.select("path", F.length("content").cast("long").alias("n_bytes")), "path")
+
+    def n(b: Column) -> Column:
+        return m.nonzeros(b["y"]) + m.nonzeros(b["cb"]) + m.nonzeros(b["cr"])
+
+    def mark(b: Column) -> Column:
+        weighed = lambda c: F.aggregate(F.transform(c, lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda t, v: t + v)
+        return weighed(b["y"]) + 2 * weighed(b["cb"]) + 3 * weighed(b["cr"])
+
+    total = lambda f: F.aggregate("blocks", F.lit(0).cast("long"), lambda t, b: t + f(b))
+    return back.select("path", "device_id", "width", "height", "level", "n_bytes", total(n).cast("int").alias("nonzeros"), total(mark).alias("mark"))
+
+
+def stored_size_total(spark, d):
+    """Bytes of all coefficient files of all devices."""
+    out = _copies(spark, d).groupBy("device_id").agg((36 + F.octet_length(F.first("device_id")) + F.sum(10 + 3 * m.nonzeros(F.col("z")))).alias("size"))
+    return out.agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+
+
+# More statistics of strategies
+
+
+def mask_coverage_summary(spark, d):
+    return metrics.mask_coverage_summary(suppliers(spark, d)).withColumn("average", r6("average"))
+
+
+def increment_statistics(spark, d):
+    return metrics.increment_statistics(spark)
+
+
+def matrix_walk_through(spark, d):
+    out = metrics.walk_through(suppliers(spark, d))
+    return out.select("device_id", *[r6(c).alias(c) for c in ("avg_increment", "avg_first", "avg_later")])
+
+
+def extreme_levels(spark, d):
+    """Statistics of matrices far along, up to where every quantizer has its limit."""
+    out = metrics.matrix_statistics(metrics.matrices(suppliers(spark, d), [500, 1000, 5000, 16256, 20000]))
+    return out.select("device_id", "level", r6("avg_quantization").alias("avg_quantization"), "min_quantization", "max_quantization")
+
+
+def matrix_print(spark, d):
+    mat = metrics.matrices(suppliers(spark, d), [5, 20, 64])
+    return mat.groupBy("device_id", "level", m.print_class(F.col("value")).alias("class")).agg(F.count("*").alias("n"))
+
+
+def leading_rows(spark, d):
+    return metrics.leading_rows(metrics.matrices(suppliers(spark, d), [20, 40])).select("device_id", "level", "order_index", "pos", "value")
+
+
+def matrix_grid(spark, d):
+    mat = metrics.matrices(spark.range(1).select(F.lit("DEVICE-001").alias("device_id")), [40])
+    return reports.pivot_grid(mat).select("row", *[F.col(str(c)).alias(f"c{c}") for c in range(8)])
+
+
+def device_names(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", st.device_name(F.col("s_suppkey")).alias("device_name"))
+
+
+# Beyond SQL: state, sampling
 
 
 def incremental_cache(spark, d):
@@ -350,27 +469,18 @@ def incremental_cache(spark, d):
 
 
 def sampled_size(spark, d):
-    px = synth.image(spark, "rgb_gradient", 256, 128)
-    req = spark.createDataFrame([("rgb_gradient", 0, "DEVICE-001", 20)], "image_id string, device_ord int, device_id string, level int")
-    return sizing.sampled_size(codecs.ProgressiveDct().compress(px, req), 100, 1)
-
-
-def secant_search(spark, d):
-    @cache
-    def size_at(level: int) -> int:
-        one = _copies(spark, d, ((0, "DEVICE-001", level),))
-        return one.agg((31 + F.sum(10 + 3 * m.nonzeros(F.col("z")))).alias("size")).first()["size"]
-
-    whole = size_at(0)
-    rows = [(t, *sizing.search_level(size_at, whole, t)) for t in (whole * f // 10 for f in (9, 7, 5))]
-    return spark.createDataFrame(rows, "target long, level int, size long")
+    """Sizes of each label's blocks as one image, from 20 sampled blocks each."""
+    rows = _copies(spark, d).select(F.col("label").alias("image_id"), "device_ord", "device_id", "level", F.col("vec_id").alias("px"), F.lit(0).alias("py"), F.col("z").alias("y"), *[F.lit(None).cast("array<int>").alias(c) for c in ("cb", "cr")])
+    return sizing.sampled_size(rows, 20, 1)
 
 
 NAMES = (
     "qdct_order qdct_matrix qdct_matrix_stats theoretical_ratio device_comparison frequency_band_counts dct_mask dct_mask_coverage "
     "dct_quant_matrix device_constants quality_ladder matrix_heat block_dct block_idct_roundtrip zigzag_quantize dequantize qdct_compress_size dct_size "
-    "qdct_reconstruct psnr_by_label dct_freq_reconstruct dct_reconstruct haar_forward haar_quantize haar_sizes haar_reconstruct rle_runs rle_expand "
+    "qdct_reconstruct psnr_by_label dct_freq_reconstruct haar_forward haar_quantize haar_sizes haar_reconstruct rle_runs rle_expand "
     "rle_reconstruct rle_sizes rgb_ycbcr difference_image synthetic_images median_merge image_psnr level_sweep ratio_by_level min_size_max_ratio "
-    "size_target_setbased memory_limit_setbased level_estimate nsl_roundtrip image_codecs incremental_cache sampled_size secant_search"
+    "all_level_sizes size_target_setbased memory_limit_setbased level_search level_estimate rate_table codec_progressive codec_masked codec_wavelet codec_runs "
+    "nsl_roundtrip stored_size_total mask_coverage_summary increment_statistics matrix_walk_through extreme_levels matrix_print leading_rows matrix_grid "
+    "device_names incremental_cache sampled_size"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.tables import INCREMENTS, LUMINANCE, ZIGZAG
-from .queries import COPIES, QUALITIES, SWEEP
+from ..functions.tables import INCREMENTS, LUMINANCE, ZIGZAG, waves
+from .queries import COPIES, MASKED, MOST, QUALITIES, SWEEP
 
 _LCG = "(s * 1664525 + 1013904223) % 4294967296"
 _NAMES = "dev AS (SELECT DISTINCT s_name AS device_id FROM supplier)"
@@ -93,6 +93,11 @@ def _pixels(width: int, height: int) -> str:
     return f"px AS (SELECT (i % {width})::BIGINT AS x, (i // {width})::BIGINT AS y FROM range({width * height}) t(i))"
 
 
+_ALL_LEVELS = f"""{_copies(((0, "DEVICE-001", 0),))},
+av AS (SELECT label, level::INT AS level, c, least(255, 1 + inc * (level // 64 + CASE WHEN order_index < level % 64 THEN 1 ELSE 0 END)) AS q
+  FROM coef JOIN ord USING (pos) JOIN inc USING (pos), range({MOST + 1}) v(level) WHERE device_id = 'DEVICE-001'),
+al AS (SELECT label, level, (31 + count(*) // 64 * 10 + 3 * count_if(floor(c / q + 0.5) <> 0))::BIGINT AS size FROM av GROUP BY label, level)"""
+
 _SWEEP_CTE = f"""{_copies(tuple((k, "DEVICE-001", v) for k, v in enumerate(SWEEP)))},
 sw AS (SELECT label, level, (31 + sum(n))::BIGINT AS size, count(*) * 64 * 3 / (31 + sum(n)) AS ratio
   FROM (SELECT label, level, vec_id, 10 + 3 * count_if(z <> 0) AS n FROM cp GROUP BY label, level, vec_id) GROUP BY label, level)"""
@@ -113,8 +118,112 @@ _IMAGES = {
     "colorbars": tuple(f"({[int(v) * 255 for v in on]})[least(7, x // 8) + 1]" for on in ("11001100", "11110000", "10101010")),
 }
 
+_WAVE = [[repr(float(x)) for x in row[::8][:8]] for row in waves()[0][::8]]
+_WAVES = "[" + ", ".join("[" + ", ".join(f"{x}::DOUBLE" for x in row) + "]" for row in _WAVE) + "]"
+_SCALES = "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in waves()[2]) + "]"
+_BYTE = lambda i: f"least(255, greatest(0, floor(embedding[{i} + 1]::DOUBLE * 255 + 128 + 0.5)))::DOUBLE"
+_PICTURES = f"""
+pic AS (SELECT vec_id - vec_id % 4 AS image_id, (p % 8)::BIGINT AS x, (p // 8 + 8 * (vec_id % 4))::BIGINT AS y, {_BYTE("p")} AS r, {_BYTE("(63 - p)")} AS g, {_BYTE("((p * 5 + 3) % 64)")} AS b
+  FROM embeddings, range(64) t(p)),
+dim AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM pic GROUP BY image_id),
+yc AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l, 128::DOUBLE - 0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5::DOUBLE * b AS cb,
+  128::DOUBLE + 0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b AS cr FROM pic)"""
+#: Coefficients and samples, each summed term by term in one order, as the kernels do.
+_CODED = f"""
+wv AS (SELECT {_WAVES} AS w, {_SCALES} AS s),
+sm AS (SELECT image_id, y - y % 8 AS py, ch, list(v ORDER BY y % 8, x) AS v
+  FROM (SELECT image_id, x, y, unnest([1, 2, 3]) AS ch, unnest([l - 128, cb - 128, cr - 128]) AS v FROM yc) GROUP BY image_id, py, ch),
+ca AS (SELECT image_id, py, ch, k::INT AS pos, list_reduce(list_transform(v, lambda e, i: e * w[(i - 1) // 8 + 1][k // 8 + 1] * w[(i - 1) % 8 + 1][k % 8 + 1]), lambda a, e: a + e) * s[k + 1] AS c
+  FROM sm, wv, range(64) t(k))"""
+
+
+def _decoded(source: str) -> str:
+    """Pixels (image_id, copy, x, y, r, g, b) of coefficients (image_id, copy, py, ch, pos, value), and mse, their mean squared error."""
+    return f"""
+dl AS (SELECT image_id, copy, py, ch, list(value::DOUBLE ORDER BY pos) AS c FROM {source} GROUP BY ALL),
+px AS (SELECT image_id, copy, py, ch, p::INT AS p,
+    list_reduce(list_transform(c, lambda e, i: e * (w[p // 8 + 1][(i - 1) // 8 + 1] * w[p % 8 + 1][(i - 1) % 8 + 1] * s[i])), lambda a, e: a + e) AS v FROM dl, wv, range(64) t(p)),
+pv AS (SELECT image_id, copy, (p % 8)::BIGINT AS x, (py + p // 8)::BIGINT AS y, max(CASE WHEN ch = 1 THEN v END) + 128 AS l, max(CASE WHEN ch = 2 THEN v END) + 128 AS cb, max(CASE WHEN ch = 3 THEN v END) + 128 AS cr FROM px GROUP BY ALL),
+de AS (SELECT image_id, copy, x, y, {_HALF("l + 1.402::DOUBLE * (cr - 128)")} AS r, {_HALF("l - 0.344136::DOUBLE * (cb - 128) - 0.714136::DOUBLE * (cr - 128)")} AS g, {_HALF("l + 1.772::DOUBLE * (cb - 128)")} AS b FROM pv)"""
+
+
+def _errors(pixels: str) -> str:
+    return f"""(SELECT d.image_id, d.copy, round(sum((d.r - o.r) ** 2 + (d.g - o.g) ** 2 + (d.b - o.b) ** 2) / (3 * count(*)), 6) + 0.0 AS mse
+      FROM {pixels} d JOIN pic o USING (image_id, x, y) GROUP BY d.image_id, d.copy)"""
+
+
+_QUANTIZED = f"""
+cp AS (SELECT image_id, device_ord, device_id, level, py, ch, pos, q, floor(c / q + 0.5)::BIGINT AS z FROM ca JOIN qm USING (pos))"""
+_MATRICES = f"""{_order(_NAMED)},
+req(device_ord, device_id, level) AS (VALUES {", ".join(f"({o}, '{i}', {v})" for o, i, v in COPIES)}),
+qm AS (SELECT device_ord, device_id, level, pos, least(255, 1 + inc * (level // 64 + CASE WHEN order_index < level % 64 THEN 1 ELSE 0 END))::INT AS q
+  FROM req JOIN ord USING (device_id) JOIN inc USING (pos))"""
+_MASKED_COPIES = f"""{_NAMED},{_MASK},{_LUMA}, {_ZIG}, {_PICTURES},{_CODED},
+req(device_ord, device_id, quality) AS (VALUES {", ".join(f"({o}, '{i}', {q}::DOUBLE)" for o, i, q in MASKED)}),
+qm AS (SELECT device_ord, req.device_id, quality, lum.position AS pos, zig, (CASE WHEN quality >= 0.95 THEN greatest(4, least(16, 8 + 2 * (lum.position // 8 + lum.position % 8)))
+    WHEN quality >= 0.85 THEN greatest(8, least(24, 12 + 3 * (lum.position // 8 + lum.position % 8))) WHEN quality >= 0.75 THEN greatest(12, least(32, 16 + 4 * (lum.position // 8 + lum.position % 8)))
+    ELSE greatest(1, floor(q * (CASE WHEN lum.position = 0 THEN 1 + (1 - quality) * 2 ELSE 1 + (1 - quality) * 9 END) * 0.5 + 0.5)) END)::INT AS q, mask.kept AS shown,
+    quality >= 0.95 OR (quality >= 0.85 AND zig < 48) OR (quality >= 0.75 AND zig < 32) OR mask.kept AS kept
+  FROM req JOIN lum USING (device_id) JOIN zz ON zz.pos = lum.position JOIN mask ON mask.device_id = req.device_id AND mask.position = zz.zig),
+cp AS (SELECT image_id, device_ord, quality, py, ch, pos, q, shown, CASE WHEN kept THEN floor(c / q + 0.5)::BIGINT ELSE 0 END AS z FROM ca JOIN qm USING (pos)),
+late AS (SELECT * FROM cp WHERE device_ord >= 3),
+fr AS (SELECT image_id, py, ch, pos, arg_max(z, quality * 100 - device_ord / 100.0) AS z FROM late WHERE z <> 0 GROUP BY ALL),
+mm AS (SELECT image_id, py, ch, pos, avg(z * q) AS v FROM late WHERE z <> 0 AND shown GROUP BY ALL),
+every AS (SELECT image_id, device_ord::VARCHAR AS copy, py, ch, pos, (z * q)::DOUBLE AS value FROM cp
+  UNION ALL SELECT image_id, 'frequencies', py, ch, pos, (coalesce(fr.z, 0) * l.q)::DOUBLE FROM late l LEFT JOIN fr USING (image_id, py, ch, pos) WHERE device_ord = 3
+  UNION ALL SELECT image_id, 'masked mean', py, ch, pos, coalesce(mm.v, 0) FROM late l LEFT JOIN mm USING (image_id, py, ch, pos) WHERE device_ord = 3),{_decoded("every")},
+mg AS (SELECT image_id, 'merged' AS copy, x, y, floor(avg(r) + 0.5) AS r, floor(avg(g) + 0.5) AS g, floor(avg(b) + 0.5) AS b FROM de WHERE copy IN ('3', '4') GROUP BY ALL),
+al AS (SELECT * FROM de UNION ALL SELECT * FROM mg),
+sz AS (SELECT image_id, device_ord::VARCHAR AS copy, CASE WHEN max(quality) >= 0.95 THEN floor(max(width * height * 3) * 0.9::DOUBLE + 0.5) WHEN max(quality) >= 0.85 THEN floor(max(width * height * 3) * 0.65::DOUBLE + 0.5)
+  WHEN max(quality) >= 0.75 THEN floor(max(width * height * 3) * 0.4::DOUBLE + 0.5) ELSE 100 + sum(CASE WHEN z <> 0 THEN 2 + length(bin(abs(z))) / 8.0 ELSE 0 END) END::DOUBLE AS size FROM cp JOIN dim USING (image_id) GROUP BY image_id, device_ord)"""
+_WAVELET_COPIES = f"""{_NAMED}, th AS (SELECT device_id, (('0x' || substr(sha256(device_id), 1, 8))::BIGINT % 50) / 100.0::DOUBLE AS t FROM dev),
+req(device_ord, device_id) AS (VALUES {", ".join(f"({o}, '{i}')" for o, i, _ in COPIES)}), {_PICTURES}, gr AS (SELECT image_id AS vec_id, x, y, l AS v FROM yc), {_HAAR},
+hq AS (SELECT vec_id, device_ord::VARCHAR AS copy, band, y, x, CASE WHEN band = 'LL' THEN v WHEN abs(v) < 26 * (1 + t) THEN 0 ELSE floor(v / 26 + 0.5) * 26 END AS v FROM hb, req JOIN th USING (device_id)),
+mn AS (SELECT vec_id, 'merged' AS copy, band, y, x, avg(v) AS v FROM hq GROUP BY ALL),
+s AS (SELECT vec_id, copy, y, x, max(CASE WHEN band = 'LL' THEN v END) AS a, max(CASE WHEN band = 'LH' THEN v END) AS b, max(CASE WHEN band = 'HL' THEN v END) AS c, max(CASE WHEN band = 'HH' THEN v END) AS d
+  FROM (SELECT * FROM hq UNION ALL SELECT * FROM mn) GROUP BY ALL),
+sv AS (SELECT vec_id AS image_id, copy, 2 * x + dx AS x, 2 * y + dy AS y, a + (1 - 2 * dx) * b + (1 - 2 * dy) * c + (1 - 2 * dx) * (1 - 2 * dy) * d AS v FROM s, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)),
+de AS (SELECT image_id, copy, x, y, {_HALF("v")} AS r, {_HALF("v")} AS g, {_HALF("v")} AS b FROM sv),
+sz AS (SELECT vec_id AS image_id, copy, (100 + 2 * count_if(v <> 0))::DOUBLE AS size FROM hq GROUP BY ALL)"""
+_RUN_COPIES = f"""{_NAMED}, req(device_ord, device_id, quality) AS (VALUES {", ".join(f"({o}, '{i}', {q}::DOUBLE)" for (o, i, _), q in zip(COPIES, (0.95, 0.05, 0.02), strict=True))}), {_PICTURES},
+rq AS (SELECT *, CASE WHEN quality < 0.9 THEN ('0x' || substr(sha256(device_id), 1, 4))::BIGINT % 16 END AS phase, 256.0::DOUBLE / floor(2 + quality * 254 + 0.5) AS step FROM req),
+qg AS (SELECT image_id, device_ord::VARCHAR AS copy, phase, x, y, y * width + x AS idx, floor(l / step) * step AS v FROM yc JOIN dim USING (image_id), rq),
+ct AS (SELECT *, CASE WHEN lag(v) OVER w <> v OR (idx > 0 AND idx % 16 = phase) THEN 1 ELSE 0 END AS c FROM qg WINDOW w AS (PARTITION BY image_id, copy ORDER BY idx)),
+sz AS (SELECT image_id, copy, (100 + 2 * (1 + sum(c)))::DOUBLE AS size FROM ct GROUP BY ALL),
+ev AS (SELECT image_id, copy, x, y, {_EVEN("v")} AS r FROM qg),
+al AS (SELECT * FROM ev UNION ALL SELECT image_id, 'merged', x, y, floor(avg(r) + 0.5) FROM ev GROUP BY ALL),
+de AS (SELECT image_id, copy, x, y, r, r AS g, r AS b FROM al)"""
+
 R = "WITH RECURSIVE "
 SQL = {
+    "codec_progressive": f"""{R}{_MATRICES}, {_PICTURES},{_CODED},{_QUANTIZED},
+        every AS (SELECT image_id, device_ord::VARCHAR AS copy, py, ch, pos, z * q AS value FROM cp
+          UNION ALL SELECT image_id, 'merged', py, ch, pos, arg_min(z * q, q * 10 + device_ord) FROM cp GROUP BY ALL),{_decoded("every")},
+        sz AS (SELECT image_id, device_ord::VARCHAR AS copy, (21 + max(length(device_id)) + count(DISTINCT py) * 10 + 3 * count_if(z <> 0))::DOUBLE AS size FROM cp GROUP BY image_id, device_ord)
+        SELECT image_id, copy, size, mse FROM {_errors("de")} LEFT JOIN sz USING (image_id, copy)""",
+    "codec_masked": f"{R}{_MASKED_COPIES} SELECT image_id, copy, size, mse FROM {_errors('al')} LEFT JOIN sz USING (image_id, copy)",
+    "codec_wavelet": f"WITH {_WAVELET_COPIES} SELECT image_id, copy, size, mse FROM {_errors('de')} LEFT JOIN sz USING (image_id, copy)",
+    "codec_runs": f"WITH {_RUN_COPIES} SELECT image_id, copy, size, mse FROM {_errors('de')} LEFT JOIN sz USING (image_id, copy)",
+    "nsl_roundtrip": f"""{R}{_MATRICES}, {_PICTURES},{_CODED},{_QUANTIZED}, {_ZIG}
+        SELECT image_id || '/' || device_ord AS path, device_id, any_value(width)::INT AS width, any_value(height)::INT AS height, level, (36 + length(device_id) + 10 * count(DISTINCT py) + 3 * count_if(z <> 0))::BIGINT AS n_bytes,
+        count_if(z <> 0)::INT AS nonzeros, sum(z * (zig + 1) * ch)::BIGINT AS mark FROM cp JOIN zz USING (pos) JOIN dim USING (image_id) GROUP BY image_id, device_ord, device_id, level""",
+    "stored_size_total": f"""{R}{_copies()}, f AS (SELECT device_id, 36 + octet_length(encode(device_id)) + 10 * count(DISTINCT vec_id) + 3 * count_if(z <> 0) AS size FROM cp GROUP BY device_id)
+        SELECT count(*) AS files, sum(size)::BIGINT AS size FROM f""",
+    "mask_coverage_summary": f"""{R}{_NAMES},{_MASK}, c AS (SELECT position, count_if(kept)::BIGINT AS devices FROM mask GROUP BY position)
+        SELECT count_if(devices > 0)::BIGINT AS covered, round(avg(devices), 6) AS average, min(devices) AS least, max(devices) AS most FROM c""",
+    "increment_statistics": f"SELECT avg(v) AS average, min(v)::INT AS least, max(v)::INT AS most FROM (SELECT unnest({list(INCREMENTS)}) AS v)",
+    "matrix_walk_through": f"""{R}{_order(_NAMES)},{_matrix([20, 40])} SELECT device_id, round(avg(CASE WHEN level = 20 AND order_index < 20 THEN increment END), 6) AS avg_increment,
+        round(avg(CASE WHEN level = 20 THEN value END), 6) AS avg_first, round(avg(CASE WHEN level = 40 THEN value END), 6) AS avg_later FROM mat GROUP BY device_id""",
+    "extreme_levels": f"""{R}{_order(_NAMES)},{_matrix([500, 1000, 5000, 16256, 20000])} SELECT device_id, level, round(avg(value), 6) AS avg_quantization, min(value) AS min_quantization, max(value) AS max_quantization FROM mat GROUP BY device_id, level""",
+    "matrix_print": f"""{R}{_order(_NAMES)},{_matrix([5, 20, 64])} SELECT device_id, level, CASE WHEN value = 1 THEN 'one' WHEN value < 10 THEN 'low' WHEN value < 20 THEN 'medium' ELSE 'high' END AS class, count(*) AS n FROM mat GROUP BY ALL""",
+    "leading_rows": f"{R}{_order(_NAMES)},{_matrix([20, 40])} SELECT device_id, level, order_index, pos, value FROM mat WHERE order_index < 32",
+    "matrix_grid": f"""{R}{_order("dev AS (SELECT 'DEVICE-001' AS device_id)")},{_matrix([40])} SELECT pos // 8 AS row, {", ".join(f"max(CASE WHEN pos % 8 = {c} THEN value END) AS c{c}" for c in range(8))} FROM mat GROUP BY row""",
+    "device_names": "SELECT s_suppkey, 'DEVICE-' || lpad(s_suppkey::VARCHAR, greatest(3, length(s_suppkey::VARCHAR))::INT, '0') AS device_name FROM supplier",
+    "all_level_sizes": f"{R}{_ALL_LEVELS} SELECT label, level, size FROM al",
+    "level_search": f"""{R}{_ALL_LEVELS}, o AS (SELECT level, sum(size - 31)::BIGINT + 31 AS size FROM al GROUP BY level), t AS (SELECT unnest([size * 9 // 10, size * 7 // 10, size * 5 // 10])::BIGINT AS target FROM o WHERE level = 0)
+        SELECT target, coalesce(min(CASE WHEN size <= target THEN level END), {MOST})::INT AS level, max(CASE WHEN size <= target THEN size END)::BIGINT AS size FROM o, t GROUP BY target""",
+    "rate_table": f"""{R}{_SWEEP_CTE}, n AS (SELECT label, count(DISTINCT vec_id) AS blocks FROM coef GROUP BY label)
+        SELECT label, level, round(size / 1024, 6) AS size_kb, round(ratio, 6) AS ratio, round(size * 8 / (blocks * 64), 6) AS bits_per_pixel FROM sw JOIN n USING (label)""",
     "qdct_order": f"""{R}{_order(_NAMES)} SELECT device_id, order_index, pos, pos // 8 AS row, pos % 8 AS col,
         CASE WHEN pos // 8 + pos % 8 <= 3 THEN 'low' WHEN pos // 8 + pos % 8 <= 8 THEN 'mid' ELSE 'high' END AS frequency_band FROM ord""",
     "qdct_matrix": f"{R}{_order(_NAMES)},{_matrix([0, 1, 5, 10, 20, 50, 64, 100])} SELECT * FROM mat",
@@ -158,8 +267,6 @@ SQL = {
         SELECT label, copy, round(mse, 5) AS mse, round({_PSNR}, 4) AS psnr FROM e""",
     "dct_freq_reconstruct": f"""{R}{_copies()}, n AS (SELECT *, greatest(0.01, 1 - least(level, 63) / 63.0) AS quality FROM cp WHERE z <> 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, pos ORDER BY quality DESC, device_ord) AS k FROM n) SELECT vec_id, pos, device_ord, z AS value FROM r WHERE k = 1""",
-    "dct_reconstruct": f"""{R}{_copies()}, n AS (SELECT *, greatest(0.01, 1 - least(level, 63) / 63.0) AS quality FROM cp), e AS (SELECT *, min(quality) OVER w AS lo, max(quality) OVER w AS hi FROM n WINDOW w AS (PARTITION BY vec_id))
-        SELECT vec_id, pos, round(avg(z * q), 6) + 0.0 AS value FROM e WHERE hi - lo <= 0.1 OR quality >= hi - 0.45 GROUP BY vec_id, pos""",
     "haar_forward": f"WITH {_GRID}, {_HAAR} SELECT vec_id, band, y, x, round(v, 6) + 0.0 AS v FROM hb",
     "haar_quantize": f"WITH {_HAAR_COPIES} SELECT vec_id, band, y, x, device_id, round(v, 6) + 0.0 AS v FROM hq WHERE v <> 0",
     "haar_sizes": f"WITH {_HAAR_COPIES} SELECT vec_id, device_id, 100 + 2 * count_if(v <> 0)::BIGINT AS size FROM hq GROUP BY vec_id, device_id",
@@ -183,9 +290,9 @@ SQL = {
     "level_sweep": f"{R}{_SWEEP_CTE} SELECT label, level, size, round(ratio, 6) AS ratio FROM sw",
     "ratio_by_level": f"{R}{_SWEEP_CTE} SELECT level, round(avg(ratio), 6) AS avg_ratio FROM sw GROUP BY level",
     "min_size_max_ratio": f"{R}{_SWEEP_CTE} SELECT label, min(size) AS min_size, round(max(ratio), 6) AS max_ratio FROM sw GROUP BY label",
-    "size_target_setbased": f"{R}{_SWEEP_CTE} SELECT label, min(level) AS level, arg_min(size, level) AS size FROM sw WHERE size <= 5500 GROUP BY label",
-    "memory_limit_setbased": f"""{R}{_SWEEP_CTE}, q AS (SELECT *, round(greatest(0.01, 1 - least(level, 63) / 63.0), 6) AS quality FROM sw)
-        SELECT label, max(quality) AS quality, arg_max(size, quality) AS size FROM q WHERE size <= 6000 GROUP BY label""",
+    "size_target_setbased": f"{R}{_ALL_LEVELS} SELECT label, min(level) AS level, arg_min(size, level) AS size FROM al WHERE size <= 5500 GROUP BY label",
+    "memory_limit_setbased": f"""{R}{_ALL_LEVELS}, q AS (SELECT *, round(greatest(0.01, 1 - least(level, 63) / 63.0), 6) AS quality FROM al)
+        SELECT label, quality, max(size) AS size FROM (SELECT *, max(quality) OVER (PARTITION BY label) AS best FROM q WHERE size <= 6000) WHERE quality = best GROUP BY label, quality""",
     "level_estimate": """WITH r AS (SELECT p_partkey, p_retailprice / 25.0::DOUBLE AS r, floor(p_retailprice * 3000)::BIGINT AS b FROM part)
         SELECT p_partkey, round(CASE WHEN r < 5 THEN 1.25 * (r - 1) WHEN r < 15 THEN 2.0 * (r - 1) ELSE 1.5 * (r - 1) + 10 END, 6) AS level,
         floor((1.0::DOUBLE - least(1.0::DOUBLE, r / 100)) * 63 + 0.5)::INT AS quality_level,

@@ -38,14 +38,3 @@ def test_query(spark, sql, name):
     ours = Counter(tuple(_plain(r[c]) for c in columns) for r in df.collect())
     at = [found.columns.index(c) for c in columns]
     assert ours == Counter(tuple(_plain(r[i]) for i in at) for r in found.fetchall())
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_secant_search_sizes_belong_to_their_levels(spark):
-    from prismlake.plans import queries
-
-    found = QUERIES["secant_search"](spark, DATA).collect()
-    assert len(found) == 3
-    for r in found:
-        z = queries._copies(spark, DATA, ((0, "DEVICE-001", r["level"]),)).select("z").collect()
-        assert r["size"] == 31 + sum(10 + 3 * sum(v != 0 for v in row["z"]) for row in z)
