@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .textkernel import slices
@@ -18,9 +19,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset on one machine (tests), one of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="prismlake-"))
     return base.rstrip("/")
@@ -37,6 +40,27 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def met(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and in ``c`` the number of rows with it.
+
+    Keys with more than a thousandth of all ``total`` rows, fewer than 1000, are met by broadcast;
+    the others in a join by key.
+    """
+    hot = F.col("c") * 1000 > total
+    most, rest = table.filter(hot).drop("c"), table.filter(~hot).drop("c")
+    return rows.join(F.broadcast(most), keys).unionByName(rows.join(F.broadcast(most.select(keys)), keys, "left_anti").join(rest, keys, how))
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt_in_order(df: DataFrame, bits: int) -> DataFrame:
+    """Rows dealt by their ``bucket`` of ``bits`` bits, each partition an equal range of buckets, and sorted by it."""
+    parts = partitions(df.sparkSession)
+    return df.repartitionById(parts, F.expr(f"cast(shiftright(cast(bucket as bigint) * {parts}, {bits}) as int)")).sortWithinPartitions("bucket")
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes intermediate tables that no later result reads."""
     for p in paths:
