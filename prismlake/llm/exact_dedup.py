@@ -19,6 +19,7 @@ play no part.  An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import met, written
 from .textkernel import LOWER_TABLE, PIECE, slices
 
 
@@ -127,7 +129,7 @@ class PatriciaTrie:
             return
         weights = {k: self._weight(v) for k, v in node.kids.items()}
         first = max(weights, key=weights.get)
-        file = tempfile.TemporaryFile()
+        file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)  # where the executor spills too
         for item in self._walk(node.kids.pop(first), prefix):
             pickle.dump(item, file)
         self.held -= weights[first]
@@ -152,18 +154,18 @@ class PatriciaTrie:
 
 
 def _merge(largest: bool):
-    """Of values (best identifier, documents, documents with that identifier, where the first of them is)."""
+    """Of values (best identifier, documents, documents with that identifier)."""
 
     def merge(x, y):
         if x[0] == y[0]:
-            return (x[0], x[1] + y[1], x[2] + y[2], min(x[3], y[3]))
+            return (x[0], x[1] + y[1], x[2] + y[2])
         best = y if x[0] is None or (y[0] is not None and (y[0] > x[0]) == largest) else x
-        return (best[0], x[1] + y[1], best[2], best[3])
+        return (best[0], x[1] + y[1], best[2])
 
     return merge
 
 
-_OWNER = "best long, n long, copies long, place long"
+_OWNER = "best long, n long, copies long"
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
@@ -182,14 +184,14 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa
 _ID = pa.int64()
 _HEAD = [("sha", pa.string()), ("length", _ID)]
 _MEMBERS = pa.schema([*_HEAD, ("place", _ID), ("ids", pa.list_(_ID))])
-_LOCAL = pa.schema([*_HEAD, ("best", _ID), ("n", _ID), ("copies", _ID), ("place", _ID), ("body", pa.binary())])
-_OWNERS = pa.schema([*_HEAD, ("keep_id", _ID), ("group_size", _ID), ("copies", _ID), ("place", _ID)])
+_LOCAL = pa.schema([*_HEAD, ("best", _ID), ("n", _ID), ("copies", _ID), ("body", pa.binary())])
+_OWNERS = pa.schema([*_HEAD, ("keep_id", _ID), ("group_size", _ID), ("copies", _ID)])
 
 
 def _local(df: DataFrame, key: str, text: str, keep: str, budget: int, members: bool) -> DataFrame:
     """Per map task, its distinct normalised texts, with the text and the local owner, or with the members' identifiers.
 
-    ``place`` numbers the tries of all tasks; both forms cut alike, as both hold the same strings.
+    ``place`` numbers the tries of all tasks; a trie's identifiers count in its budget.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +208,8 @@ def _local(df: DataFrame, key: str, text: str, keep: str, budget: int, members:
             for part in slices(batch, text):
                 for i, t in zip(part.column(key).to_pylist(), part.column(text).to_pylist(), strict=True):
                     body = (t or "").encode().translate(LOWER_TABLE)
-                    trie.insert(body, [i] if members else (i, 1, 1, place))
+                    trie.insert(body, [i] if members else (i, 1, 1))
+                    trie.held += 8 * members
                 if trie.held > budget:
                     yield from flush()
                     trie, place = PatriciaTrie(merge, 1 << 62), place + 1
@@ -217,32 +220,43 @@ def _local(df: DataFrame, key: str, text: str, keep: str, budget: int, members:
 
 
 def owners(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest", budget: int = 64 << 20, local_budget: int = 32 << 20) -> DataFrame:
-    """One row per distinct text: sha (of the normalised text), length, keep_id, group_size, and the
-    number of rows with the owner's identifier and the place of the first."""
+    """One row per distinct text: sha (of the normalised text), length, keep_id, group_size, and
+    ``copies``, the number of rows with the owner's identifier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(_merge(keep == "largest"), budget)
         for batch in batches:
-            for *value, body in zip(*[batch.column(c).to_pylist() for c in ("best", "n", "copies", "place", "body")], strict=True):
+            for *value, body in zip(*[batch.column(c).to_pylist() for c in ("best", "n", "copies", "body")], strict=True):
                 trie.insert(body, tuple(value))
         rows = ((hashlib.sha256(body).hexdigest(), len(body), *v) for body, v in trie.items())
         yield from _batches(rows, _OWNERS, 1)
 
     dealt = _local(df, key, text, keep, local_budget, members=False).repartition("length", "sha")
-    return dealt.mapInArrow(run, "sha string, length long, keep_id long, group_size long, copies long, place long")
+    return dealt.mapInArrow(run, "sha string, length long, keep_id long, group_size long, copies long")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest", local_budget: int = 32 << 20) -> DataFrame:
     """One row per document: key, keep_id, group_size, kept, text_sha256.
 
-    The join carries one row per group and map task, which is then expanded to
-    its documents; a hot group has no more such rows than there are tasks.
+    The join carries one row per group and trie, which is then expanded to its documents;
+    groups with more than a thousandth of all documents are met by broadcast.
     """
-    own = owners(df, key, text, keep, local_budget=local_budget).withColumnRenamed("place", "__first")
-    joined = _local(df, key, text, keep, local_budget, members=True).join(own, ["sha", "length"])
-    rows = joined.select("*", F.posexplode("ids").alias("__pos", key))
-    first = (F.col("copies") == 1) | ((F.col("place") == F.col("__first")) & (F.col("__pos") == F.coalesce(F.array_position("ids", F.col("keep_id")) - 1, F.lit(0))))
-    return rows.select(key, "keep_id", "group_size", (F.col(key).eqNullSafe(F.col("keep_id")) & first).alias("kept"), F.col("sha").alias("text_sha256"))
+    keys = ["sha", "length"]
+    own, _ = written(owners(df, key, text, keep, local_budget=local_budget), "owners")
+    members, _ = written(_local(df, key, text, keep, local_budget, members=True), "group-members")
+    own = own.withColumn("c", F.col("group_size"))
+    total = own.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    several = own.filter("copies > 1")
+    if several.isEmpty():
+        own = own.withColumn("first", F.lit(None).cast("long"))
+    else:
+        # Of repeated rows of an owner one stays: in the first trie that has it, the first of its identifiers there.
+        place = met(members, several, keys, total).filter(F.exists("ids", lambda i: i.eqNullSafe(F.col("keep_id"))))
+        own = own.join(place.groupBy(*keys).agg(F.min("place").alias("first")), keys, "left")
+    rows = met(members, own, keys, total).select("*", F.posexplode("ids").alias("__pos", key))
+    at = F.coalesce(F.array_position("ids", F.col("keep_id")) - 1, F.lit(0))
+    stays = F.col("first").isNull() | ((F.col("place") == F.col("first")) & (F.col("__pos") == at))
+    return rows.select(key, "keep_id", "group_size", (F.col(key).eqNullSafe(F.col("keep_id")) & stays).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
