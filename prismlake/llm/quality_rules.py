@@ -77,29 +77,22 @@ def words_of(text: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Number of words inside 3-word windows that occur twice or more.
 
-    Windows get a 64-bit hash; if all differ, no window repeats.  Else the hashes,
-    shortened by the bits that a place needs and joined with it, are sorted as
-    plain longs, and neighbours with equal hashes are compared word by word.
+    Windows get a 64-bit hash; if all differ, no window repeats.  Else hashes are
+    sorted with their places, and neighbours with equal hashes are compared word by word.
     """
     n = F.size(words)
     hashed = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), F.lit(1), n - 2)
-    bits = F.length(F.bin(n))
-    shift = lambda x, how: F.call_function(how, x, bits)
 
-    def same(i: Column, j: Column) -> Column:
-        each = [F.get(words, i + k) == F.get(words, j + k) for k in range(3)]
-        return F.coalesce(each[0] & each[1] & each[2], F.lit(False))
+    def like(p: Column, q: Column) -> Column:
+        each = [F.get(words, p["i"] + k) == F.get(words, q["i"] + k) for k in range(3)]
+        return F.coalesce((p["h"] == q["h"]) & each[0] & each[1] & each[2], F.lit(False))
 
-    def hits(packed: Column, prefix: Column) -> Column:
-        place = lambda k: (F.get(packed, k) - shift(F.get(prefix, k), "shiftleft")).cast("int")
-        like = lambda p, k, j: F.coalesce(p == F.get(prefix, j), F.lit(False)) & same(place(k), place(j))
-        found = F.transform(prefix, lambda p, k: F.when(like(p, k, k + 1) | like(p, k, k - 1), place(k)))
-        return F.array_compact(found)
+    def hits(s: Column) -> Column:
+        return F.array_compact(F.transform(s, lambda p, k: F.when(like(p, F.get(s, k + 1)) | like(p, F.get(s, k - 1)), p["i"])))
 
     def covered(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: shift(x, "shiftleft") + i))
-        pair = F.transform(F.array(packed), lambda s: F.struct(s.alias("s"), F.transform(s, lambda x: shift(x, "shiftright")).alias("p")))
-        found = F.get(F.transform(pair, lambda x: hits(x["s"], x["p"])), F.lit(0))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        found = F.get(F.transform(F.array(placed), hits), F.lit(0))
         return F.size(F.array_distinct(F.flatten(F.transform(found, lambda i: F.array(i, i + 1, i + 2)))))
 
     counted = F.transform(F.array(hashed), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
