@@ -107,7 +107,7 @@ class _Memo(dict):
 class ByteBpe:
     """Encoder and decoder over a rank file (base64 token, rank) and a split pattern."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 500_000):
+    def __init__(self, path: str, pattern: str, memo: int = 250_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         keys = sorted(self.ranks, key=self.ranks.get)

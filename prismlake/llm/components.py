@@ -53,3 +53,20 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def joined_components(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """``component`` (node, component) after further ``edges`` (a, b) between any nodes.
+
+    Only the components that edges join are looked at again, not what is inside them.
+    """
+    name = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    met = edges.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    met, at = written(met.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "joining")
+    moved, moved_at = written(connected_components(met.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
+    fresh = met.filter("a = ca").select(F.col("a").alias("node")).unionByName(met.filter("b = cb").select(F.col("b").alias("node"))).distinct()
+    fresh = fresh.join(component, "node", "left_anti").withColumn("component", F.col("node"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    out, _ = written(component.unionByName(fresh).join(to, "component", "left").select("node", F.coalesce("__to", "component").alias("component")), "components")
+    remove(edges.sparkSession, at, moved_at)
+    return out

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import met, written
+from .storage import met, tidy, written
 from .textkernel import LOWER_TABLE, PIECE, slices
 
 
@@ -216,7 +216,7 @@ def _local(df: DataFrame, key: str, text: str, keep: str, budget: int, members:
         yield from flush()
 
     schema = "sha string, length long, " + ("place long, ids array<long>" if members else f"{_OWNER}, body binary")
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, schema)
+    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(tidy(run), schema)
 
 
 def owners(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest", budget: int = 64 << 20, local_budget: int = 32 << 20) -> DataFrame:
@@ -232,7 +232,7 @@ def owners(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "
         yield from _batches(rows, _OWNERS, 1)
 
     dealt = _local(df, key, text, keep, local_budget, members=False).repartition("length", "sha")
-    return dealt.mapInArrow(run, "sha string, length long, keep_id long, group_size long, copies long")
+    return dealt.mapInArrow(tidy(run), "sha string, length long, keep_id long, group_size long, copies long")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest", local_budget: int = 32 << 20) -> DataFrame:

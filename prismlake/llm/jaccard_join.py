@@ -44,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from .components import connected_components
-from .storage import add_columns, remove, written
+from .components import connected_components, joined_components
+from .storage import add_columns, dealt_in_order, met, partitions, remove, tidy, written
 from .textkernel import mix64, mix_int, slices, word_hashes
 
 WORDS = 5
 LEVELS = 3
+#: Members of a run that one task compares at once.
+BLOCK = 256
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -229,11 +231,12 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                     [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)]], ["id", "n", "f1", "f2"]
                 )
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long")
+    return docs.mapInArrow(tidy(run), "id long, n long, f1 long, f2 long")
 
 
-def _signed(docs: DataFrame, words: int, bits: int, chunk: int = 1_000_000) -> DataFrame:
+def _signed(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """Signatures of a task's different sets, cut by bucket: packed signatures and identifiers."""
+    chunk = max(1_000_000, 64 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, counts, size, seen = [], [], [], 0, set()
@@ -268,11 +271,14 @@ def _signed(docs: DataFrame, words: int, bits: int, chunk: int = 1_000_000) -> D
 
     # A chunk forgets its sets' fingerprints, and the smallest identifier of a class may sit in any
     # task: copies among the members are dropped later, for their representative signs alike.
-    return docs.mapInArrow(run, "bucket int, signatures binary, owners binary")
+    return docs.mapInArrow(tidy(run), "bucket int, signatures binary, owners binary")
 
 
-def _runs(signed: DataFrame) -> DataFrame:
-    """Members (run, id) of all runs of two or more equal signatures; equal runs of a bucket once."""
+def _runs(signed: DataFrame, bits: int) -> DataFrame:
+    """Members (run, id) of all runs of two or more equal signatures; equal runs of a bucket once.
+
+    Buckets are ranges of hashes and are dealt in order, so every partition has an equal share.
+    """
 
     def of_bucket(blobs: list[tuple[bytes, bytes]]) -> pa.RecordBatch | None:
         signature = np.concatenate([_from_planes(s, 6) for s, _ in blobs])
@@ -314,28 +320,47 @@ def _runs(signed: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    found = signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "run long, id long")
-    return found.dropDuplicates(["run", "id"])
+    return dealt_in_order(signed, bits).mapInArrow(tidy(run), "run long, id long").dropDuplicates(["run", "id"])
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, its shingles as an array and its sketch."""
+    """id, the size of its set, its sketch and its shingles as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), words)
-                arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), arrays, pa.array([_sketch(s) for s in sets], pa.binary())], ["id", "shingles", "sketch"])
+                sizes = [len(s) for s in sets]
+                arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary()), arrays], ["id", "n", "sketch", "shingles"])
+
+    return docs.mapInArrow(tidy(run), "id long, n long, sketch binary, shingles array<long>")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and cell counts don't rule out."""
+    known = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    sized = pairs.join(known("b"), "b").join(known("a"), "a").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, sa, sb in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")], strict=True):
+                cells = min(len(sa), len(sb))
+                differ = np.count_nonzero(_fold(np.frombuffer(sa, np.uint8), cells) != _fold(np.frombuffer(sb, np.uint8), cells))
+                keep.append(differ * (100 + percent) <= (na + nb) * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, "id long, shingles array<long>, sketch binary")
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of percent / 100 or more."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(right, "b").join(left, "a")
+    """The pairs (a, b) whose sets have a Jaccard similarity of percent / 100 or more.
+
+    Only sets of some pair travel; where the pairs are few, Spark finds those sets without a shuffle.
+    """
+    used = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")).join(pairs.select(c).distinct(), c, "left_semi")
+    joined = pairs.join(used("b"), "b").join(used("a"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return joined.filter(100 * common >= percent * union).select("a", "b")
@@ -344,17 +369,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     """Candidate pairs (run, a, b) of different components within a run that cell counts don't rule out.
 
-    Rows: run, id, component, n, sketch, and failed: partners that the member is
-    known not to be linked with.  With ``every``, all such pairs, once a task;
+    Rows: run, part, id, component, n, sketch, failed (partners that the member is
+    known not to be linked with) and block.  With ``every``, all such pairs, once a task;
     else only so many that they would join all that such pairs join (a forest,
-    likeliest pairs first): fewer pairs than the run has members.
+    likeliest pairs first): fewer pairs than the run has members.  Runs come in parts;
+    in all parts but the first, pairs of members that every part has (``block`` null)
+    are left out.
     """
 
-    def of_run(member: list[tuple]) -> Iterator[tuple[int, int]]:
+    def of_run(member: list[tuple], later: bool) -> Iterator[tuple[int, int]]:
         if len(member) < 2:
             return
         member.sort(key=lambda m: m[2])
         ids, tree, size = (np.array([m[k] for m in member], dtype=np.int64) for k in (0, 1, 2))
+        own = np.array([m[5] is not None for m in member])
         sketch = [np.frombuffer(m[3], np.uint8) for m in member]
         cells = min(map(len, sketch))
         cell = np.stack([_fold(s, cells) for s in sketch])
@@ -365,7 +393,8 @@ def _across(rows: DataFrame, percent: int, every: bool) -> DataFrame:
                 part = slice(at, min(last, at + 4096))
                 differ = (cell[part] != cell[i]).sum(axis=1)
                 # Jaccard >= p/100 allows (a + b) * (100 - p) / (100 + p) differences at most.
-                near = np.flatnonzero((tree[part] != tree[i]) & (differ * (100 + percent) <= (size[i] + size[part]) * (100 - percent)))
+                fits = (tree[part] != tree[i]) & (differ * (100 + percent) <= (size[i] + size[part]) * (100 - percent))
+                near = np.flatnonzero(fits & (own[part] | own[i]) if later else fits)
                 if not every:
                     near = near[np.argsort(differ[near], kind="stable")]
                 for j in near:
@@ -388,38 +417,56 @@ def _across(rows: DataFrame, percent: int, every: bool) -> DataFrame:
 
         once: set[tuple[int, int]] = set()
 
-        def take(now: int, held: list[tuple]) -> None:
-            for p in of_run(held):
+        def take(now: tuple, held: list[tuple]) -> None:
+            for p in of_run(held, now[1] > 0):
                 if not every or p not in once:
-                    found.append((now, *p))
+                    found.append((now[0], *p))
                     if every:
                         once.add(p)
 
-        now, held = None, []
+        now, held = (0, 0), []
         for batch in batches:
-            for r, *m in zip(*[batch.column(c).to_pylist() for c in ("run", "id", "component", "n", "sketch", "failed")], strict=True):
-                if r != now:
+            for r, x, *m in zip(*[batch.column(c).to_pylist() for c in ("run", "part", "id", "component", "n", "sketch", "failed", "block")], strict=True):
+                if (r, x) != now:
                     take(now, held)
                     if len(found) >= 100_000:
                         yield full()
                         once.clear()
                     held = []
-                now = r
+                now = (r, x)
                 held.append(tuple(m))
         take(now, held)
         if found:
             yield full()
 
-    return rows.repartition("run").sortWithinPartitions("run").mapInArrow(run, "run long, a long, b long")
+    return rows.repartition("run", "part").sortWithinPartitions("run", "part").mapInArrow(tidy(run), "run long, a long, b long")
+
 
+def _mixed(member: DataFrame, component: DataFrame, sets: DataFrame, failed: DataFrame, total: int, every: bool) -> tuple[DataFrame, str] | None:
+    """Members of the runs that still span several components, with what ``_across`` needs, and their path; None if there is none.
 
-def _mixed(member: DataFrame, component: DataFrame, sets: DataFrame, failed: DataFrame) -> DataFrame:
-    """Members of the runs that still span several components, with what ``_across`` needs."""
+    For forests, a run's members are dealt to parts of about ``BLOCK``.  With ``every``, where all but at most
+    ``BLOCK`` members are of one component, that component's members are dealt so, and the others go to
+    every part: pairs that matter have one of them.  Rows so at most double.  Other runs are one part.
+    """
     both = failed.select(F.col("a").alias("id"), F.col("b").alias("f")).unionByName(failed.select(F.col("b").alias("id"), F.col("a").alias("f")))
-    known = sets.select("id", F.size("shingles").cast("long").alias("n"), "sketch").join(both.groupBy("id").agg(F.collect_set("f").alias("failed")), "id", "left")
+    known = sets.select("id", "n", "sketch").join(both.groupBy("id").agg(F.collect_set("f").alias("failed")), "id", "left")
     placed = member.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    runs = placed.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run")
-    return placed.join(runs, "run").join(known, "id").select("run", "id", "component", "n", "sketch", "failed")
+    placed, at = written(placed, "placed-members")
+    each = placed.groupBy("run", "component").agg(F.count("*").alias("n"))
+    runs = each.groupBy("run").agg(F.sum("n").alias("c"), F.max("n").alias("most"), F.max_by("component", "n").alias("largest"), F.count("*").alias("k")).filter("k > 1")
+    dealt = F.col("most") if every else F.col("c")
+    parts = F.when(F.lit(not every) | (F.col("c") - F.col("most") <= BLOCK), F.ceil(dealt / BLOCK)).otherwise(1).cast("int")
+    runs, runs_at = written(runs.select("run", "c", parts.alias("parts"), "largest"), "mixed-runs")
+    if runs.isEmpty():
+        remove(member.sparkSession, at, runs_at)
+        return None
+    own = F.pmod(F.xxhash64("id", "run"), F.col("parts")).cast("int")
+    members = met(placed, runs, ["run"], total).withColumn("block", F.when((F.col("component") == F.col("largest")) | F.lit(not every), own))
+    members = members.withColumn("part", F.explode(F.when(F.col("block").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("block"))))
+    out, out_at = written(members.join(known, "id").select("run", "part", "id", "component", "n", "sketch", "failed", "block", "parts"), "mixed-members")
+    remove(member.sparkSession, at, runs_at)
+    return out, out_at
 
 
 def _with_prints(df: DataFrame, text: str, words: int) -> DataFrame:
@@ -442,8 +489,8 @@ def _placed(df: DataFrame, key: str, text: str, words: int, percent: int) -> tup
     if percent < 80:
         raise ValueError("the signature windows hold for a similarity of 0.8 and above")
     spark = df.sparkSession
-    # As many signature buckets as the shuffle has partitions, 256 to 65536.
-    bits = min(16, max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    # Some signature buckets for every partition of the shuffle, 1024 at least.
+    bits = max(10, (partitions(spark) - 1).bit_length() + 2)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sized, sized_at = written(_sizes(docs, words), "shingle-sizes")
     repeated, _ = written(sized.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "repeated-ids")
@@ -458,40 +505,55 @@ def _placed(df: DataFrame, key: str, text: str, words: int, percent: int) -> tup
     else:
         sized = sized.withColumn("node", F.col("id"))
     # Copies: all but the smallest node of the documents with one set.
-    prints = ["n", "f1", "f2"]
-    rep = sized.filter("n > 0").groupBy(*prints).agg(F.min("node").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    copies, copies_at = written(sized.join(rep, prints).filter("node <> rep").select("node", "rep").dropDuplicates(["node"]), "copies")
-    member, member_at = written(_runs(_signed(docs, words, bits)).join(copies.withColumnRenamed("node", "id"), "id", "left_anti"), "signature-runs")
-
-    leader = member.groupBy("run").agg(F.min("id").alias("a"))
-    first = member.join(leader, "run").filter("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
-    wanted = member.select("id").distinct()
-    sets, sets_at = written(_sets(docs.join(wanted, "id").dropDuplicates(["id"]), words), "candidate-sets")
-    edges, edges_at = written(_verified(first, sets, percent), "links")
+    prints, rows = ["n", "f1", "f2"], sized.count()
+    group, group_at = written(sized.filter("n > 0").groupBy(*prints).agg(F.min("node").alias("rep"), F.count("*").alias("c")).filter("c > 1"), "copy-groups")
+    grouped, grouped_at = written(met(sized, group, prints, rows, "left"), "grouped")
+    copies, copies_at = written(grouped.filter("node <> rep").select(F.col("node").alias("id")).distinct(), "copies")
+    member, member_at = written(_runs(_signed(docs, words, bits), bits).join(copies, "id", "left_anti"), "signature-runs")
+
+    total = member.count()
+    leader, leader_at = written(member.groupBy("run").agg(F.min("id").alias("a"), F.count("*").alias("c")), "leaders")
+    first = met(member, leader, ["run"], total).filter("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
+    wanted = docs.join(member.select("id").distinct(), "id")
+    sets, sets_at = written(_sets(wanted.dropDuplicates(["id"]) if several else wanted, words), "candidate-sets")
+    likely, likely_at = written(_likely(first, sets, percent), "likely-pairs")
+    edges, edges_at = written(_verified(likely, sets, percent), "links")
+    component, at = written(connected_components(edges), "components")
 
     # Runs still mixed: first a sixteenth of them, which already joins large groups, then all, by forests of
-    # candidates; then the runs whose forest had a pair that failed, by every candidate, again a part of them
-    # first: pairs that failed once are not tried again.
-    every, gone = edges, [member_at, sets_at, edges_at]
+    # candidates; then the runs whose forest had a pair that failed or left parts unjoined, by every candidate,
+    # again a part of them first: pairs that failed once are not tried again.
+    gone = [group_at, grouped_at, copies_at, member_at, leader_at, sets_at, likely_at, edges_at, at]
     failed, some = edges.limit(0), member
     for share, whole in ((16, False), (1, False), (16, True), (1, True)):
-        component, at = written(connected_components(every), "components")
+        found = _mixed(some.filter(F.pmod("run", F.lit(share)) == 0), component, sets, failed, total, whole)
+        if found is None:
+            if share == 1:
+                break  # no run is mixed
+            continue
+        mixed, at = found
         gone.append(at)
-        part = some.filter(F.pmod("run", F.lit(share)) == 0)
-        tried, at = written(_across(_mixed(part, component, sets, failed), percent, whole), "candidates")
+        tried, at = written(_across(mixed, percent, whole), "candidates")
         more, more_at = written(_verified(tried.select("a", "b").distinct(), sets, percent), "links")
         lost = tried.join(more, ["a", "b"], "left_anti")
         if (share, whole) == (1, False):
-            some, some_at = written(member.join(lost.select("run").distinct(), "run"), "open-runs")
+            unjoined = lost.select("run").unionByName(mixed.filter("parts > 1").select("run")).distinct()
+            some, some_at = written(member.join(unjoined, "run"), "open-runs")
             gone.append(some_at)
-        failed = failed.unionByName(lost.select("a", "b")).distinct()
-        every = every.unionByName(more)
         gone += [at, more_at]
-    last, _ = written(connected_components(every), "components")
+        failed, at = written(failed.unionByName(lost.select("a", "b")).distinct(), "failed")
+        gone.append(at)
+        if not more.isEmpty():
+            component, at = written(joined_components(component, more), "components")
+            gone.append(at)
+
+    # A row's node, or that of its copies' group, leads to its component; groups know theirs before their rows meet them.
+    named = component.withColumnRenamed("node", "rep")
+    group = group.join(named, "rep", "left").select(*prints, "c", F.coalesce("component", "rep").alias("component"))
+    alone = grouped.filter("node IS NOT NULL AND rep IS NULL").join(component, "node", "left").select("id", *prints, F.coalesce("component", "node").alias("component"))
+    out = alone.unionByName(met(grouped.filter("rep IS NOT NULL").select("id", *prints), group, prints, rows))
+    out, _ = written(out, "linked")
     remove(spark, *gone)
-
-    out = sized.filter("node IS NOT NULL").join(copies, "node", "left").withColumn("node", F.coalesce("rep", "node")).join(last, "node", "left")
-    out = out.select("id", *prints, F.coalesce("component", "node").alias("component"))
     if not several:
         return out.withColumn("label", F.col("component")), repeated, several
     # The smallest node names most components rightly; the others get their smallest identifier, null if none has one.

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from .storage import add_columns, dealt_in_order, filesystem, fresh_path, partitions, remove, written
+from .storage import add_columns, dealt_in_order, filesystem, fresh_path, partitions, remove, tidy, written
 from .textkernel import mix64, slices, word_hashes
 
 #: Stand for the start and the end of a text.
@@ -249,7 +249,7 @@ def hot_contexts(df: DataFrame, text: str, share: float, sample: float, most: in
                 often = n > n.sum() * share / 4
                 yield pa.RecordBatch.from_arrays([pa.array(before[often].view(np.int64)), pa.array(n[often]), pa.array(np.full(often.sum(), n.sum()))], ["context", "n", "of"])
 
-    found = df.select(text).sample(sample, 7).mapInArrow(run, "context long, n long, of long")
+    found = df.select(text).sample(sample, 7).mapInArrow(tidy(run), "context long, n long, of long")
     top = found.groupBy("context").agg((F.sum("n") / F.sum("of")).alias("share")).orderBy(F.desc("share")).limit(most).collect()
     often = [np.int64(r["context"]).view(np.uint64) for r in top if r["share"] > share]
     return np.unique(np.array([*often, BEGIN], dtype=np.uint64))
@@ -316,10 +316,10 @@ def train(df: DataFrame, text: str = "text", chunk: int = 2_000_000, share: floa
             w, c = zip(*[_unpack(x, 2) for x in blobs], strict=True)
             yield _row("words", b, stat=_reduce_words(np.concatenate(w).astype(np.uint64), np.concatenate(c).astype(np.int64), path, b))
 
-    pairs = dealt_in_order(df.select(text).mapInArrow(count, "bucket int, blob binary"), bits)
-    reduced, at = written(pairs.mapInArrow(reduce_pairs, _STAT), "pair-statistics")
+    pairs = dealt_in_order(df.select(text).mapInArrow(tidy(count), "bucket int, blob binary"), bits)
+    reduced, at = written(pairs.mapInArrow(tidy(reduce_pairs), _STAT), "pair-statistics")
     words = dealt_in_order(reduced.filter("kind = 'words'").select("bucket", "blob"), bits)
-    word = _totals(words.mapInArrow(reduce_words, _STAT))
+    word = _totals(words.mapInArrow(tidy(reduce_words), _STAT))
     pair = _totals(reduced.filter("kind = 'pairs'"))
     numbers = _hot_numbers(reduced.filter("kind = 'pairs' AND blob IS NOT NULL").select("blob"))
     remove(spark, at)
@@ -339,7 +339,7 @@ def _hot_numbers(blobs: DataFrame) -> tuple[np.ndarray, ...]:
             for blob in batch.column("blob").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in _unpack(blob, 5)], ["context", "total", "s1", "s2", "s3"])
 
-    each = blobs.mapInArrow(run, "context long, total long, s1 long, s2 long, s3 long")
+    each = blobs.mapInArrow(tidy(run), "context long, total long, s1 long, s2 long, s3 long")
     rows = each.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("total", "s1", "s2", "s3")]).collect()
     table = np.array([tuple(r) for r in rows], dtype=np.int64).reshape(-1, 5)
     contexts = np.ascontiguousarray(table[:, 0]).view(np.uint64)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from .storage import add_columns
+from .storage import add_columns, tidy
 from .textkernel import mix64, slices, word_hashes
 
 _ORDERS, _SHARES = 3, 6
@@ -123,8 +123,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
             yield pa.RecordBatch.from_arrays([pa.array([fit_ftrl(rows, width, setting).tobytes()], pa.binary())], ["weights"])
 
     rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64(key).alias("h"), label, text)
-    made = rows.mapInArrow(featurise, "h long, y double, places binary, features binary")
-    found = made.repartition(1).sortWithinPartitions("h", "y", "places").mapInArrow(learn, "weights binary").collect()
+    made = rows.mapInArrow(tidy(featurise), "h long, y double, places binary, features binary")
+    found = made.repartition(1).sortWithinPartitions("h", "y", "places").mapInArrow(tidy(learn), "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros(width, np.float32)
 
 

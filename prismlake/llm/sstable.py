@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import filesystem, fresh_path, written
+from .storage import filesystem, fresh_path, tidy, written
 from .textkernel import slices, utf8
 
 MAGIC, VERSION = 0x50534C5353540001, 1
@@ -400,7 +400,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
     rows = df.select(F.col(key).cast("long").alias(key), text)
     dealt = rows.repartitionByRange(F.col(key).asc_nulls_first(), F.xxhash64(text)).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(text))
-    return dealt.mapInArrow(run, MANIFEST)
+    return dealt.mapInArrow(tidy(run), MANIFEST)
 
 
 def read_shards(manifest: DataFrame, path: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
@@ -438,7 +438,7 @@ def read_shards(manifest: DataFrame, path: str, key: str = "doc_id", ids: bool =
 
     # A number of its own, as adaptive execution would put so small a table into one task.
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(tasks, "shard").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return placed.repartition(tasks, "shard").mapInArrow(tidy(run), f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def op6_token_shards(spark, sf_dir: str) -> DataFrame:

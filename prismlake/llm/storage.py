@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -40,6 +41,23 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker hands the memory that its task freed back to the system.
+
+    Workers live on from task to task, and what they keep would add up with what other operators' tasks need.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # another C library
+            pass
+
+    return tidied
+
+
 def met(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, which has one row per key and in ``c`` the number of rows with it.
 
@@ -91,4 +109,4 @@ def add_columns(df: DataFrame, text: str, fields: list[StructField], make: Calla
             for part in slices(batch, column):
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *make(part.column(column))], [*names, *[f.name for f in fields]])
 
-    return source.mapInArrow(run, StructType([*keep, *fields]))
+    return source.mapInArrow(tidy(run), StructType([*keep, *fields]))
