@@ -85,6 +85,42 @@ def test_sharding_moves_and_weights(spark):
     assert {region[r["grown_shard"]] for r in moved.select("grown_shard").distinct().collect()} == {region[7]}
 
 
+def test_sharding_query_on_odd_rows(spark, docs, tmp_path):
+    """Sizes, checksums, law and slots of null, empty, long and repeated texts, and of null identifiers."""
+    long = "é🙂 word " * 60_000
+    odd = [(i, t) for i, t, _ in _rows()] + [(None, "no identifier"), (None, None), (99, long), (98, long), (21, "Plain text here")]
+    extra = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"shard": F.lit("clash"), "size": F.lit(1)})
+    extra.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sharding.op1_sharding(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "key") for i, t in odd)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"]) for r in rows) == want
+    home, slots = defaultdict(set), defaultdict(list)
+    for r in rows:
+        home[r["doc_id"]].add((r["shard"], r["grown_shard"]))
+        slots[r["shard"]].append(r["slot"])
+        assert 0 <= r["shard"] < 40 and r["grown_shard"] in (r["shard"], 40)
+    assert all(len(v) == 1 for v in home.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    again = sharding.op1_sharding(spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+
+
+def test_exact_dedup_repeated_owners_and_hot_groups(spark):
+    """Exactly one row a group stays, whatever repeats, in tries of all sizes."""
+    rows = [(k % 7 if k % 5 else None, "hot Copy") for k in range(400)] + [(5, "twice"), (5, "TWICE"), (None, "none"), (None, "none"), (3, ""), (3, None)]
+    rows += [(k, f"text {k}") for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").translate(LOWER)].append(i)
+    for budget in (300, 1 << 20):
+        out = exact_dedup.deduplicate(table, local_budget=budget).cache()
+        largest = {k: max((i for i in v if i is not None), default=None) for k, v in groups.items()}
+        want = [(i, largest[k], len(v), hashlib.sha256(k.encode()).hexdigest()) for k, v in groups.items() for i in v]
+        assert collected(out, "doc_id", "keep_id", "group_size", "text_sha256") == sorted(want, key=repr)
+        kept = Counter((r["text_sha256"], r["doc_id"]) for r in out.filter("kept").collect())
+        assert kept == Counter((hashlib.sha256(k.encode()).hexdigest(), largest[k]) for k in groups)
+
+
 def test_exact_dedup(docs, none):
     out = exact_dedup.deduplicate(docs)
     groups = defaultdict(list)
@@ -163,6 +199,22 @@ def test_jaccard_join_near_the_threshold(spark):
     assert got == _linked(rows)
 
 
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    """Runs of equal signatures cut into parts of two, hot groups of copies, and links that only further candidates find."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    rng = np.random.default_rng(9)
+    rows = [(k, "c one two three four five six") for k in range(40)]
+    for group in range(6):
+        base = [f"g{group}_{k}" for k in range(44)]
+        for k in range(9):
+            w = list(base)
+            w[int(rng.integers(0, 44))] = f"n{rng.integers(1 << 30)}"
+            w[(7 * k) % 44] = f"m{k % 4}"
+            rows.append((1000 + 10 * group + k, " ".join(w)))
+    got = collected(jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), "doc_id", "n_shingles", "component_id")
+    assert got == _linked(rows)
+
+
 def test_part_enum_signatures_meet():
     rng = np.random.default_rng(3)
     for size in (1, 3, 4, 7, 8, 13, 21, 30, 47, 90, 250, 900):
@@ -218,19 +270,42 @@ def test_language_model(docs, none):
     # The model is a distribution: over its words and one unknown the probabilities sum to 1.
     for context in ("<s>", "plain", "never seen"):
         assert math.isclose(sum(p(context, w) for w in c) + p(context, "unknown word"), 1, rel_tol=1e-9)
-    model = language_model.train(docs.filter(~language_model.held_out(F.col("doc_id"))), chunk=50)
-    assert (model.train_tokens, model.vocabulary) == (n, v)
-    got = {(r["doc_id"], r["n_tokens"], r["n_known"]): r for r in language_model.score(docs, model).collect()}
-    for i, t, _ in rows:
-        x = low(t)
-        r = got[(i, len(x), sum(c[w] > 0 for w in x))]
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, w)) for a, w in zip(["<s>", *x], x, strict=False)), rel_tol=1e-9)
+    training = docs.filter(~language_model.held_out(F.col("doc_id")))
+    # However many contexts are spread over all buckets, the model is the same.
+    for share, spread in ((1.0, 1), (0.002, 20), (0.0, 60)):
+        model = language_model.train(training, chunk=50, share=share, sample=1.0)
+        assert (model.train_tokens, model.vocabulary) == (n, v) and len(model.hot[0]) >= spread
+        got = {(r["doc_id"], r["n_tokens"], r["n_known"]): r for r in language_model.score(docs, model).collect()}
+        for i, t, _ in rows:
+            x = low(t)
+            r = got[(i, len(x), sum(c[w] > 0 for w in x))]
+            assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
+            assert math.isclose(r["score"], sum(math.log10(p(a, w)) for a, w in zip(["<s>", *x], x, strict=False)), rel_tol=1e-9)
     empty = language_model.train(none)
     assert empty.train_tokens == 0 and language_model.score(none, empty).count() == 0
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in language_model.score(docs, empty).collect())
 
 
+def test_packed_arrays_hold_large_counts():
+    given = [np.array(x, dtype=np.uint64) for x in ([], [0, 255], [256], [1 << 16, 3], [(1 << 32) - 1], [1 << 32], [(1 << 64) - 1, 0])]
+    back = language_model._unpack(language_model._pack(*given), len(given))
+    assert [x.tolist() for x in back] == [x.tolist() for x in given] and [x.itemsize for x in back] == [1, 1, 2, 4, 4, 8, 8]
+
+
+def test_model_files_read_where_they_cannot_be_mapped(tmp_path, monkeypatch):
+    for k in range(5):
+        language_model._store(str(tmp_path), f"words-{k:05d}", np.arange(100, dtype=np.uint64) + k, np.full(100, k + 1))
+    from pyarrow import fs
+
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(language_model, "filesystem", lambda path: (store, "."))
+    held = language_model.Arrays("elsewhere", 8, most=700)
+    for k in (0, 1, 2, 3, 4, 0, 7, 4):
+        got = held.get(f"words-{k:05d}", 2)
+        assert (got is None) == (k == 7) and (got is None or (got[0][0], got[1][0]) == (k, k + 1))
+        assert held.held <= 700
+
+
 def test_mixing(docs, none):
     rows = _rows()
     sized = docs.withColumn("size", mixing.word_count(F.col("text")))
@@ -501,6 +576,53 @@ def test_quality_classifier(spark, docs, none):
     assert {r["predicted"] for r in quality_model.score(docs, flat).collect()} == {0}
 
 
+def test_ftrl_against_plain_updates():
+    """The fitted weights equal those of the published update rule, one coordinate at a time."""
+    rng = np.random.default_rng(12)
+    setting = quality_model.Ftrl(alpha=0.3, beta=0.7, l1=0.01, l2=0.02, epochs=2)
+    rows = []
+    for _ in range(120):
+        place = rng.choice(40, int(rng.integers(1, 9)), replace=False)
+        rows.append((place, rng.normal(0, 1, len(place)), float(rng.integers(0, 2))))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= setting.l1:
+            return 0.0
+        return -(z[i] - math.copysign(setting.l1, z[i])) / ((setting.beta + math.sqrt(n[i])) / setting.alpha + setting.l2)
+
+    for _ in range(setting.epochs):
+        for place, value, y in rows:
+            w = {int(i): weight(int(i)) for i in place}
+            p = 1 / (1 + math.exp(-sum(w[int(i)] * v for i, v in zip(place, value, strict=True))))
+            for i, v in zip(map(int, place), value, strict=True):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / setting.alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(quality_model.fit_ftrl(rows, 40, setting), [weight(i) for i in range(40)], rtol=1e-5, atol=1e-7)
+
+
+def test_classifier_features_brute_force():
+    """Shares of n-grams by how often they occur, and the number of different 1- and 2-grams, of odd texts."""
+    texts = [t for _, t, _ in _rows()]
+    token = re.compile("[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0d]+")
+    size = 1 << 18
+    for t, (places, values) in zip(texts, quality_model.features(pa.array(texts), 18), strict=True):
+        w = token.findall((t or "").translate(LOWER))
+        got = dict(zip(places.tolist(), values.tolist(), strict=True))
+        assert got.pop(size) == 1.0
+        different = 0
+        for n in (1, 2, 3):
+            grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+            share = [0.0] * 6
+            for c in grams.values():
+                share[min(5, math.ceil(math.log2(c)))] += c / sum(grams.values())
+            assert np.allclose([got.pop(size + 1 + 6 * (n - 1) + k, 0.0) for k in range(6)], share)
+            different += len(grams) * (n < 3)
+        # Few places collide among so many; each has the same value and all together length 1.
+        assert different - 10 - different**2 / size <= len(got) <= different and (not got or math.isclose(sum(v * v for v in got.values()), 1))
+
+
 def test_byte_bpe(docs, none):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
@@ -550,6 +672,9 @@ def test_quality_rules(spark, docs, none):
     base = quality_rules.apply_policy(led, "base")
     fails = lambda m: m[0] < 50 or 100 * m[4] > 50 * m[0]
     assert collected(base, "doc_id", "kept") == sorted(((i, not fails(_measures(t))) for i, t in texts), key=repr)
+    words_ = ["w%d" % (k % 5000) for k in range(30_000)] + ["x%d" % k for k in range(40_000)] + ["w1", "w2", "w3"]
+    lengthy = spark.createDataFrame([(1, " ".join(words_)), (2, "r s t " * 30_000)], "doc_id long, text string")
+    assert [r["n_repeat_words"] for r in quality_rules.ledger(lengthy).orderBy("doc_id").collect()] == [_measures(" ".join(words_))[4], 90_000]
     rows = {r["rule"]: r for r in quality_rules.ablation(led, "v1").collect()}
     bits = [r["fail_bits"] for r in led.collect()]
     for rule in quality_rules.RULES:
