@@ -16,7 +16,9 @@ _LONG = "bigint"
 
 
 def device_name(i: Column) -> Column:
-    return F.concat(F.lit("DEVICE-"), F.lpad(i.cast("string"), 3, "0"))
+    """The number in three digits at least; ``lpad`` would cut longer ones to its width."""
+    digits = i.cast("string")
+    return F.concat(F.lit("DEVICE-"), F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), "0"))
 
 
 def digest(device: Column) -> Column:
